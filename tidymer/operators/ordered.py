@@ -44,7 +44,7 @@ def precision_curve(df: DataFrame, by: list[str], score: str, tie: str, realised
     band = F.when(n > 1, F.stddev_pop(realised).over(upto) / F.sqrt((n - 1).cast("double")))
     return df.withColumns({
         "rank": n, "precision": F.avg(realised).over(upto), "sem": band,
-        "recall": F.when(F.sum(realised).over(whole) != 0, F.sum(realised).over(upto) / F.sum(realised).over(whole)), "recall_n": F.sum(realised).over(upto) / (F.count("*").over(whole) + 1),
+        "recall": F.sum(realised).over(upto) / F.nullif(F.sum(realised).over(whole), F.lit(0)), "recall_n": F.sum(realised).over(upto) / (F.count("*").over(whole) + 1),
     })
 
 
@@ -89,7 +89,7 @@ def cdf_gap(df: DataFrame, by: list[str], score: str, marked: str) -> DataFrame:
     """Score at which the cumulative shares of marked and other rows differ most (the least of equals), and the difference."""
     at = df.groupBy(*by, score).agg(F.sum(F.col(marked).cast("int")).alias("m"), F.count("*").alias("n"))
     w, whole = Window.partitionBy(*by).orderBy(score), Window.partitionBy(*by)
-    inside, outside = F.sum("m").over(w) / F.sum("m").over(whole), F.sum(F.col("n") - F.col("m")).over(w) / F.nullif(F.sum(F.col("n") - F.col("m")).over(whole), F.lit(0))
+    inside, outside = F.sum("m").over(w) / F.nullif(F.sum("m").over(whole), F.lit(0)), F.sum(F.col("n") - F.col("m")).over(w) / F.nullif(F.sum(F.col("n") - F.col("m")).over(whole), F.lit(0))
     gaps = at.withColumn("gap", F.abs(inside - outside))
     best = gaps.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("gap"), score)))
     return best.where("place = 1").select(*by, score, "gap")
