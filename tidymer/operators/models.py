@@ -230,7 +230,7 @@ def affinity_regression(sequence: DataFrame, response: DataFrame, design: DataFr
         values, u = np.linalg.eigh(g)
         order = np.argsort(-values)
         s = np.sqrt(np.maximum(values[order], 0))
-        n = max(1, int((np.cumsum(s) / s.sum() < share).sum()))
+        n = min(max(1, int((np.cumsum(s) / s.sum() < share).sum())), int((s > s[0] * 1e-7).sum()))
         return u[:, order[:n]], s[:n]
 
     (ul, sl), (ux, sx) = half(gl, share_y), half(gx, share_x)

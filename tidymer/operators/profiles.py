@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ENTITY = Window.partitionBy("entity")
-FEATURE = Window.partitionBy("feature")
-
 
 def clean(profile: DataFrame) -> DataFrame:
     """NaN, infinite and null values become 0."""
@@ -118,11 +115,11 @@ def _over(value: Column, divisor: Column) -> Column:
 
 
 def l2_normalize(profile: DataFrame) -> DataFrame:
-    return profile.withColumn("value", _over(F.col("value"), F.sqrt(F.sum(F.col("value") * F.col("value")).over(ENTITY))))
+    return profile.withColumn("value", _over(F.col("value"), F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("entity")))))
 
 
 def l1_normalize(profile: DataFrame) -> DataFrame:
-    return profile.withColumn("value", _over(F.col("value"), F.sum(F.abs("value")).over(ENTITY)))
+    return profile.withColumn("value", _over(F.col("value"), F.sum(F.abs("value")).over(Window.partitionBy("entity"))))
 
 
 def quantile_normalize(profile: DataFrame) -> DataFrame:
@@ -150,7 +147,7 @@ def log2_fold_of_mean(profile: DataFrame) -> DataFrame:
     """log2(x / mean) by feature, values of 0 or less raised to the least positive one of all."""
     floor = profile.where("value > 0").agg(F.min("value").alias("floor"))
     raised = profile.join(floor).withColumn("value", F.when(F.col("value") > 0, F.col("value")).otherwise(F.col("floor")))
-    return raised.withColumn("value", F.log2(F.col("value") / F.avg("value").over(FEATURE))).drop("floor")
+    return raised.withColumn("value", F.log2(F.col("value") / F.avg("value").over(Window.partitionBy("feature")))).drop("floor")
 
 
 def minmax_scale(profile: DataFrame, by: str = "feature") -> DataFrame:
