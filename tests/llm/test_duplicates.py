@@ -73,6 +73,22 @@ def test_near_duplicates_and_keep_one(spark, edges, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_similarity_joins_near_copies_only(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    docs = []
+    for g in range(30):
+        base = [word() for _ in range(300)]
+        docs.append((10 * g, " ".join(base)))
+        near = list(base)
+        near[150] = word()
+        docs.append((10 * g + 1, " ".join(near)))  # 5 of 296 shingles change: 0.97
+        docs.append((10 * g + 2, " ".join(base[:150] + [word() for _ in range(150)])))  # about a third
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame, words=5, radius=12, similarity=0.8).collect()}
+    assert got == {i: i if i % 10 != 1 else i - 1 for i, _ in docs}
+
+
 def test_components(spark):
     rnd = random.Random(3)
     links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(300, 360)] + [(5, None), (7, 7)]

@@ -68,7 +68,7 @@ def test_pipeline_stages(spark):
     known = stage["language"](spark, clean, SF).cache()
     assert known.count() == clean.count()
     single = stage["near_duplicates"](spark, known, SF).cache()
-    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(known, words=5, radius=7).collect()}
+    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(known, words=5, radius=12, similarity=0.8).collect()}
     assert sorted(r.doc_id for r in single.collect()) == sorted(set(groups.values()))
     mixed = stage["mixing"](spark, single, SF).cache()
     assert Counter(r.doc_id for r in mixed.collect()) == Counter({r.doc_id: r.taken // r.size for r in mixing.schedule(single).collect() if r.taken})
