@@ -32,8 +32,9 @@ COMMON = {
     "es": "de la que el en y los del se las por un para con no una su al lo como".split(),
     "fr": "de la le et les des en un du une que est pour qui dans par sur au plus".split(),
 }
-#: Character classes: what each pattern leaves out of a text is its count; the rest of the text is a class of its own.
-CLASSES = {"lower": r"[a-z]+", "upper": r"[A-Z]+", "digit": r"[0-9]+", "blank": r"[\x20\x09-\x0D]+", "stop": r"[.,;:!?'\"()-]+", "sign": r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E&&[^.,;:!?'\"()-]]+"}
+#: Character classes besides blanks and a-z: what each pattern takes from a text's words without a-z is its count; the rest is a class of its own.
+CLASSES = {"upper": r"[A-Z]+", "digit": r"[0-9]+", "symbol": r"[#*$%&|<>]+", "stop": r"[.,;:!?'\"()-]+", "sign": r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E&&[^#*$%&|<>.,;:!?'\"()-]]+"}
+N_CLASSES = len(CLASSES) + 3
 
 
 def _words(text: Column) -> Column:
@@ -41,14 +42,21 @@ def _words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
 
 
-def _repeats(words: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more. Windows are compared by a 64-bit hash, sorted with their place."""
+def _hashes(words: Column) -> Column:
+    """A 64-bit hash of every window of three words."""
     last = F.size(words) - 3
-    windows = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")))
-    return F.when(last >= 1, F.array_sort(windows)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+    windows = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    return F.when(last >= 1, windows).otherwise(F.array().cast("array<bigint>"))
+
+
+def _repeats(hashes: Column) -> Column:
+    """Hashes with their places, sorted; none where all differ, as in most texts."""
+    placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
 
 
 def _covered(windows: Column) -> Column:
+    """Words inside 3-word windows that occur twice or more."""
     twice = F.filter(F.sequence(F.lit(0), F.size(windows) - 1), lambda j: F.coalesce(F.get(windows, j)["h"] == F.get(windows, j - 1)["h"], F.lit(False)) | F.coalesce(F.get(windows, j)["h"] == F.get(windows, j + 1)["h"], F.lit(False)))
     at = F.transform(twice, lambda j: F.get(windows, j)["i"])
     return F.when(F.size(windows) > 1, F.size(F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(i, i + 1, i + 2)))))).otherwise(0)
@@ -56,28 +64,30 @@ def _covered(windows: Column) -> Column:
 
 def counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", common: dict[str, list[str]] = COMMON) -> DataFrame:
     """The base counts of every row, with its class and common-word counts as arrays."""
-    text = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("words", _words(F.col("text"))).withColumn("windows", _repeats(F.col("words")))
+    text = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("words", _words(F.col("text"))).withColumn("hashes", _hashes(F.col("words"))).withColumn("windows", _repeats(F.col("hashes")))
+    text = text.withColumn("joined", F.array_join("words", "")).withColumn("few", F.regexp_replace("joined", "[a-z]+", ""))
     lines = F.filter(F.split("text", "\n", -1), lambda line: F.trim(line, F.lit(BLANKS)) != "")
-    length = F.length("text")
-    classes = [(length - F.length(F.regexp_replace("text", p, ""))).cast("long") for p in CLASSES.values()]
+    length, joined, few = F.length("text"), F.length("joined"), F.length("few")
+    classes = {k: few - F.length(F.regexp_replace("few", p, "")) for k, p in CLASSES.items()}
+    taken = [length - joined, joined - few, *classes.values()]
     every = sorted({w for ws in common.values() for w in ws})
     lists = F.lit(None).cast("array<string>")
     for lang, ws in common.items():
         lists = F.when(F.col("lang") == lang, F.array(*map(F.lit, ws))).otherwise(lists)
     lists = F.when(F.col("lang").isNull(), F.array(*map(F.lit, every))).otherwise(F.coalesce(lists, F.array().cast("array<string>")))
     usual = F.filter("words", lambda w: w.isin(every))
-    both = text.select("id", "lang", F.size("words").cast("long").alias("n_words"), F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"), (length - F.length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"), lines.alias("lines"), _covered(F.col("windows")).cast("long").alias("n_repeat_words"), length.alias("n_chars"), F.array(*classes).alias("classes"), usual.alias("usual"), lists.alias("lists"))
+    both = text.select("id", "lang", F.size("words").cast("long").alias("n_words"), joined.cast("long").alias("word_chars"), lines.alias("lines"), _covered(F.col("windows")).cast("long").alias("n_repeat_words"), length.alias("n_chars"), F.transform(F.array(*taken), lambda v: v.cast("long")).alias("classes"), usual.alias("usual"), lists.alias("lists"))
     failed = (F.col("n_words") < MIN_N_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rest = (F.col("n_chars") - F.aggregate("classes", F.lit(0).cast("long"), lambda a, b: a + b)).cast("long")
     return both.select(
-        "id", "lang", "n_words", "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words", failed.alias("base_failed"), F.col("n_chars").cast("long").alias("n_chars"),
+        "id", "lang", "n_words", "word_chars", F.get("classes", F.lit(2 + list(CLASSES).index("symbol"))).alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words", failed.alias("base_failed"), F.col("n_chars").cast("long").alias("n_chars"),
         F.concat("classes", F.array(rest)).alias("classes"), F.transform("lists", lambda c: F.size(F.filter("usual", lambda w: w == c)).cast("long")).alias("common"),
     )
 
 
 def references(counted: DataFrame, width: int) -> DataFrame:
     """ref_lang and the summed counts of each language's documents that pass the base rules."""
-    n = len(CLASSES) + 1
+    n = N_CLASSES
     sums = counted.where(~F.col("base_failed")).groupBy(F.col("lang").alias("ref_lang")).agg(*(F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(n)), *(F.sum(F.coalesce(F.get("common", F.lit(i)), F.lit(0))).alias(f"w{i}") for i in range(width)))
     return sums.select("ref_lang", F.array(*(f"c{i}" for i in range(n))).alias("ref_classes"), F.array(*(f"w{i}" for i in range(width))).alias("ref_common"))
 
