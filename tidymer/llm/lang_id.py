@@ -53,26 +53,43 @@ class Model:
 class Predictor:
     def __init__(self, model: Model):
         self.model = model
+        self.words: dict[str, int] = {}
+        self.grams: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        for key, row in model.index.items():
+            size, _, piece = key.rpartition(":")
+            (self.grams[int(size)] if size else self.words)[piece] = row
         self.unseen: dict[str, int] = {}
         self.backed = np.zeros((KEPT, len(model.languages)), np.float32)
 
-    def _back_off(self, word: str) -> np.ndarray:
-        for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            if known := [i for g in grams(word, n) if (i := self.model.index.get(f"{n}:{g}")) is not None]:
-                return self.model.logs[known].mean(axis=0)
-        return np.zeros(len(self.model.languages), np.float32)
+    def _known(self, word: str) -> list[int]:
+        """Rows of the longest n-grams of a word that are known."""
+        marked = f"^{word}$"
+        for n in range(min(LONGEST, len(marked)), 0, -1):
+            get = self.grams[n].get
+            if known := [row for i in range(len(marked) - n + 1) if (row := get(marked[i : i + n])) is not None]:
+                return known
+        return []
+
+    def _back_off(self, words: list[str]) -> None:
+        """Means of the log frequencies of unseen words' n-grams, in rows of ``backed``."""
+        rows = [self._known(w) for w in words]
+        sizes = np.array([len(r) for r in rows])
+        at = np.arange(len(self.unseen), len(self.unseen) + len(words))
+        self.unseen.update(zip(words, at.tolist(), strict=True))
+        self.backed[at] = 0
+        some = sizes > 0
+        if some.any():
+            flat = np.fromiter(itertools.chain.from_iterable(rows), np.int64)
+            starts = np.r_[0, np.cumsum(sizes[some])[:-1]]
+            self.backed[at[some]] = np.add.reduceat(self.model.logs[flat], starts) / sizes[some, None]
 
     def _sum(self, words: list[str], counts: np.ndarray) -> np.ndarray:
-        rows = list(map(self.model.index.get, words))
-        new = [k for k, r in enumerate(rows) if r is None]
+        rows = list(map(self.words.get, words))
+        new = [w for w, r in zip(words, rows, strict=True) if r is None]
         if len(self.unseen) + len(new) > KEPT:
             self.unseen = {}
-        for k in new:
-            if (at := self.unseen.get(words[k])) is None:
-                at = self.unseen[words[k]] = len(self.unseen)
-                self.backed[at] = self._back_off(words[k])
-            rows[k] = -1 - at
-        at = np.array(rows)
+        self._back_off([w for w in new if w not in self.unseen])
+        at = np.array([-1 - self.unseen[w] if r is None else r for w, r in zip(words, rows, strict=True)])
         seen = at >= 0
         return counts[seen] @ self.model.logs[at[seen]] + counts[~seen] @ self.backed[-1 - at[~seen]]
 
