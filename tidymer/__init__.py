@@ -1 +1,22 @@
 """tidymer: Spark-native operators on sequences, vectors, profiles and graphs."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
+
+def ship(spark) -> None:
+    """Send this package to the executors' Python, once for a context, so that it need not be installed there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidymer_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    at = os.path.join(tempfile.mkdtemp(prefix="tidymer-"), "tidymer.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(at)
+    sc._tidymer_shipped = True
