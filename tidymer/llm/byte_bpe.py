@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import ship
 from .shared import TwoGenerationCache, slices
 
 #: Characters whose pieces are held at a time; pieces in one query; pieces kept between blocks; bytes of a long piece.
@@ -193,6 +194,7 @@ def _codec(rank_file: bytes, pattern: str) -> Codec:
 
 
 def _map(docs: DataFrame, rank_path: str, pattern: str, columns: list, schema: str, block) -> DataFrame:
+    ship(docs.sparkSession)
     with open(rank_path, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import ship
 from .components import connected_components, merge_labels
 from .shared import written
 
@@ -114,6 +115,7 @@ def _pivots(nodes: DataFrame) -> dict[int, np.ndarray]:
 def links(nodes: DataFrame, threshold: float, epsilon: float | None = None) -> DataFrame:
     """(node, others, parent): parts of the number of linked other vectors, and a spanning forest of the links."""
     spark = nodes.sparkSession
+    ship(spark)
     pivots = _pivots(nodes)
     coded = written(_coded(nodes, pivots), "codes")
     cells = {(r.dim, r.pivot): (-(-r.n // CELL), r.radius) for r in coded.groupBy("dim", "pivot").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}  # at most PIVOTS for a length

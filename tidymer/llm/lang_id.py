@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import ship
 from .shared import held_out
 
 MAX_DOCS, MIN_WORD, MIN_GRAM, LONGEST = 4000, 2e-5, 1e-5, 5
@@ -114,6 +115,7 @@ class Predictor:
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS) -> Model:
     """A model from the text and language of documents whose crc32(id) mod 5 is not 0."""
+    ship(docs.sparkSession)
     usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull())
     counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}  # a row for each language
     if not counts:
@@ -162,6 +164,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0, keep: bool = False) -> DataFrame:
     """id, held_out, lang_pred, score of every row; with ``keep`` instead the rows of ``docs`` in a learnt language with a score of at least ``least``."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

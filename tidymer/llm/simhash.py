@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import ship
 from .components import connected_components, merge_labels
 from .shared import written
 
@@ -68,6 +69,8 @@ def _multiple(hashes: np.ndarray, word: int) -> np.ndarray:
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, sketch: int = 0) -> DataFrame:
     """id, fp (signed long) and sketch (binary, empty without words) of every row, over shingles of ``words`` words."""
 
+    ship(docs.sparkSession)
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), words, sketch) for t in batch.column(1)], np.uint64).reshape(-1, 1 + sketch)
@@ -167,6 +170,7 @@ def links(nodes: DataFrame, radius: int, most: int | None = None) -> DataFrame:
 
     With ``most``, links must also differ in at most so many bits of fingerprint and sketch (column sketch).
     """
+    ship(nodes.sparkSession)
     carried = ["fp"] if most is None else ["fp", "sketch"]
     buckets = nodes.select(*carried, F.explode(_keys(radius)).alias("key"))
     large = written(buckets.groupBy("key").count().where(F.col("count") > CELL).select("key", F.ceil(F.col("count") / CELL).cast("int").alias("parts")), "buckets")

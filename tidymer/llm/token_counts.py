@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import ship
 from .shared import TwoGenerationCache, slices
 
 #: Characters in a slice whose frequencies are held at a time, and pre-tokens kept between slices.
@@ -58,6 +59,7 @@ class PieceCounter:
 
 def count_tokens(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """id, n_bytes, n_tokens, over_limit (n_tokens > ``limit``) of every row; the model file (read here) travels as a broadcast of its fixed size."""
+    ship(docs.sparkSession)
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
 

@@ -27,6 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import ship
 from .shared import held_out
 
 MAX_DOCS, MAX_BYTES = 2000, 12_000_000
@@ -130,6 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, keep: bool = False) -> DataFrame:
     """id, held_out, score, predicted of every row; with ``keep`` instead the rows of ``docs`` that are not predicted toxic."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
