@@ -113,3 +113,22 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phr
         F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort(F.array_distinct("base")), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("base", F.coalesce("found", none))), ",").alias("labels"), F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("containment", F.lit(0.0))).alias("score"),
     )
+
+
+def oracle() -> str:
+    """SQL for DuckDB with the same phrases, templates and threshold."""
+    phrases = ", ".join(f"({p.split()!r}, '{l}')" for p, l in PHRASES.items())
+    templates = ", ".join(f"('{l}', {sorted(set(t.split()))!r})" for l, t in TEMPLATES)
+    return rf"""
+WITH w AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+phrases(phrase, label) AS (VALUES {phrases}),
+templates(label, has) AS (VALUES {templates}),
+places AS (SELECT row, label, i - 1 AS place FROM (SELECT row, words, unnest(range(1, len(words) + 1)) AS i FROM w) x JOIN phrases ON words[i] = phrase[1] AND words[i:i + len(phrase) - 1] = phrase),
+base AS (SELECT row, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY row),
+blocks AS (SELECT row, words[b * {STEP} + 1:b * {STEP} + {BLOCK}] AS block FROM (SELECT row, words, unnest(range(0, greatest(len(words) - {STEP} - 1, 0) // {STEP} + 1)) AS b FROM w) x),
+matches AS (SELECT row, label, len(list_intersect(has, block)) AS shared, len(has) AS n FROM blocks, templates WHERE len(list_intersect(has, block)) >= ceil(0.8 * len(has) - 1e-9)),
+labelled AS (SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT row, label FROM matches UNION SELECT row, label FROM places) GROUP BY row),
+best AS (SELECT row, max(shared / n) AS containment FROM matches GROUP BY row)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(containment, 0.0) END AS score
+FROM w LEFT JOIN base USING (row) LEFT JOIN labelled USING (row) LEFT JOIN best USING (row)
+"""

@@ -115,3 +115,32 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     measured = both.withColumns({"class_distance": by_class, "common_distance": by_word})
     near = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASSES) & (F.coalesce("common_distance", F.lit(0.0)) <= MAX_COMMON)
     return measured.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & near).alias("kept"), "class_distance", "common_distance")
+
+
+def oracle() -> str:
+    """SQL for DuckDB with the same lists, classes and limits."""
+    every = sorted({w for ws in COMMON.values() for w in ws})
+    lists = " ".join(f"WHEN lang = '{k}' THEN {v!r}" for k, v in COMMON.items())
+    keep = {"upper": r"[^A-Z]+","digit": r"[^0-9]+","symbol": r"[^#*$%&|<>]+","stop": r"""[^.,;:!?''"()\-]+""","sign": r"""[#*$%&|<>.,;:!?''"()\-]|[^\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]"""}
+    counts = ", ".join(f"length(regexp_replace(few, '{p}', '', 'g'))" for p in keep.values())
+    js = lambda a, b: f"sqrt(greatest(list_sum(list_transform(range(1, len({a}) + 1), lambda i: (CASE WHEN {a}[i] > 0 THEN {a}[i] / list_sum({a}) * log2(2 * {a}[i] / list_sum({a}) / ({a}[i] / list_sum({a}) + {b}[i] / list_sum({b}))) ELSE 0 END + CASE WHEN {b}[i] > 0 THEN {b}[i] / list_sum({b}) * log2(2 * {b}[i] / list_sum({b}) / ({a}[i] / list_sum({a}) + {b}[i] / list_sum({b}))) ELSE 0 END) / 2)), 0))"
+    return rf"""
+WITH w AS (SELECT row_number() OVER () AS row, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (SELECT row, i, words[i] || chr(32) || words[i + 1] || chr(32) || words[i + 2] AS s FROM (SELECT row, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) >= 3) x),
+twice AS (SELECT row, i FROM windows QUALIFY count(*) OVER (PARTITION BY row, s) > 1),
+covered AS (SELECT row, count(DISTINCT i + d) AS n FROM twice, range(0, 3) r(d) GROUP BY row),
+lines AS (SELECT row, count(*) - count(DISTINCT line) AS n FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM w) x WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row),
+joined AS (SELECT *, coalesce(array_to_string(words, ''), '') AS joined, regexp_replace(coalesce(array_to_string(words, ''), ''), '[a-z]+', '', 'g') AS few, CASE WHEN lang IS NULL THEN {every!r} {lists} ELSE [] END AS listed FROM w),
+counted AS (
+    SELECT j.row, doc_id, lang, len(words)::BIGINT AS n_words, length(joined)::BIGINT AS word_chars, length(text) AS n_chars, coalesce(l.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, [length(text) - length(joined), length(joined) - length(few), {counts}] AS taken,
+        list_transform(listed, lambda u: len(list_filter(words, lambda x: x = u))) AS common
+    FROM joined j LEFT JOIN lines l ON l.row = j.row LEFT JOIN covered c ON c.row = j.row),
+judged AS (SELECT *, taken[5]::BIGINT AS n_symbols, list_append(taken, n_chars - list_sum(taken)::BIGINT)::DOUBLE[] AS classes, n_words < {MIN_N_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counted),
+ref_c AS (SELECT lang, list(s ORDER BY i) AS ref_classes FROM (SELECT lang, i, sum(classes[i]) AS s FROM judged, range(1, 9) r(i) WHERE NOT base_failed GROUP BY ALL) GROUP BY lang),
+ref_w AS (SELECT lang, list(s ORDER BY i) AS ref_common FROM (SELECT lang, i, sum(common[i])::DOUBLE AS s FROM judged, range(1, {len(every) + 1}) r(i) WHERE NOT base_failed AND i <= len(common) GROUP BY ALL) GROUP BY lang),
+met AS (SELECT j.*, ref_classes, ref_common, list_sum(common) AS n_common, common::DOUBLE[] AS own FROM judged j LEFT JOIN ref_c c ON j.lang IS NOT DISTINCT FROM c.lang LEFT JOIN ref_w w ON j.lang IS NOT DISTINCT FROM w.lang),
+measured AS (
+    SELECT *, CASE WHEN n_chars >= {MIN_CHARS} THEN {js("classes", "ref_classes")} END AS by_class,
+        CASE WHEN n_words >= {MIN_WORDS} AND len(common) > 0 THEN CASE WHEN n_common >= {MIN_COMMON} THEN {js("own", "ref_common")} WHEN n_common = 0 THEN 1.0 END END AS by_word FROM met)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(by_class, 0) <= {MAX_CLASSES} AND coalesce(by_word, 0) <= {MAX_COMMON} AS kept, round(by_class, 6) AS class_distance, round(by_word, 6) AS common_distance FROM measured
+"""

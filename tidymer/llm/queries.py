@@ -49,7 +49,8 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "common_distance")})
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.ORACLE, "op4_chat_format": chat_format.ORACLE}
+    return {"op2_mixing": mixing.ORACLE, "op4_chat_format": chat_format.ORACLE, "op7_license_scan": license_scan.oracle(), "op8_embedding_dedup": embedding_dedup.ORACLE, "op9_quality": quality.oracle()}
