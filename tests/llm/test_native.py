@@ -105,12 +105,12 @@ def license_row(text):
 
 
 def test_license_scan(spark, edges, empty):
-    rows = [(i, t) for i, (_, t) in enumerate(license_scan.TEMPLATES)] + [(50, "x " * 40 + "Permission to use, copy, modify and/or distribute this software for any purpose with or without fee is granted" + " y" * 90), (51, "the MIT-License, Apache\nlicense; GENERAL public license mit license")]
+    rows = [(i, t) for i, (_, t) in enumerate(license_scan.TEMPLATES)] + [(1050, "x " * 40 + "Permission to use, copy, modify and/or distribute this software for any purpose with or without fee is granted" + " y" * 90), (1051, "the MIT-License, Apache\nlicense; GENERAL public license mit license")]
     frame = spark.createDataFrame(rows, "doc_id long, text string").unionByName(edges.select("doc_id", "text"))
     got = license_scan.scan(frame)
     want = Counter((r.doc_id, *license_row(r.text)) for r in frame.collect())
     assert Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in got.collect()) == want
-    assert {r.labels for r in got.where("doc_id = 50").collect()} == {"isc"}
+    assert {r.labels for r in got.where("doc_id = 1050").collect()} == {"isc"}
     assert license_scan.scan(empty).count() == 0
 
 

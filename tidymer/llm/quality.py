@@ -95,12 +95,13 @@ def references(counted: DataFrame, width: int) -> DataFrame:
 def distance(a: Column, b: Column) -> Column:
     """Jensen-Shannon distance of two arrays of counts; null where either has none."""
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    shares = F.zip_with(a, b, lambda x, y: F.struct((x / F.nullif(total(a), F.lit(0.0))).alias("p"), (y / F.nullif(total(b), F.lit(0.0))).alias("q")))
+    shares = F.zip_with(a, b, lambda x, y: F.struct((x / total(a)).alias("p"), (y / total(b)).alias("q")))
 
     def part(p: Column, q: Column) -> Column:
-        return F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(F.when(p.isNull(), p).otherwise(0.0))
+        return F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(0.0)
 
-    return F.sqrt(F.greatest(F.aggregate(shares, F.lit(0.0), lambda s, v: s + (part(v["p"], v["q"]) + part(v["q"], v["p"])) / 2), F.lit(0.0)))
+    found = F.sqrt(F.greatest(F.aggregate(shares, F.lit(0.0), lambda s, v: s + (part(v["p"], v["q"]) + part(v["q"], v["p"])) / 2), F.lit(0.0)))
+    return F.when((total(a) > 0) & (total(b) > 0), found)
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", common: dict[str, list[str]] = COMMON) -> DataFrame:
