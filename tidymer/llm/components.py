@@ -3,7 +3,7 @@
 Each round hooks the larger neighbours of every node, then its smaller ones, to the least node it sees. Rounds
 grow with the logarithm of a component's diameter; each is written to the shared folder, so lineage stays short and
 no edge ever reaches the driver. A node's edges are never gathered: its least neighbour is a partial aggregate,
-joined back to the edges, and adaptive execution splits the join where one node has many.
+written and joined back to the edges, so that adaptive execution can split the join where one node has many.
 """
 
 from __future__ import annotations
@@ -15,14 +15,23 @@ from pyspark.sql import functions as F
 from .shared import drop_written, written
 
 
+def _least(edges: DataFrame, temporary: list[DataFrame]) -> DataFrame:
+    """Least neighbour (or itself) of every node, as a table of its own: a join with it can be split where a node has many edges."""
+    temporary.append(written(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least"))
+    return temporary[-1]
+
+
 def _round(edges: DataFrame) -> DataFrame:
     """Edges (a, b), a > b, after one large-star and one small-star step."""
+    temporary: list[DataFrame] = []
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-    least = large.groupBy("a").agg(F.min("b").alias("m"))
-    small = large.join(least, "a")
-    return small.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
+    large = written(both.where("b > a").join(_least(both, temporary), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+    least = _least(large, temporary)
+    small = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+    for table in (*temporary, large):
+        drop_written(table)
+    return out
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -38,7 +47,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if after == state or not after[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state, before = after, now
-        now = written(_round(now), "edges")
+        now = _round(now)
         drop_written(before)
 
 
