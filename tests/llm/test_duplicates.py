@@ -89,6 +89,41 @@ def test_similarity_joins_near_copies_only(spark):
     assert got == {i: i if i % 10 != 1 else i - 1 for i, _ in docs}
 
 
+def jaccard_groups(docs, words=5, least=0.8):
+    """Component of each (id, text) by brute force over all pairs."""
+    sets = []
+    for _, text in docs:
+        parts = (text or "").lower().split()
+        sets.append({tuple(parts[k : k + words]) for k in range(max(1, len(parts) - words + 1))})
+    close = [(i, j) for i in range(len(docs)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 10 * least * len(sets[i] | sets[j])]
+    return {docs[i][0]: docs[r][0] for i, r in enumerate(roots_of(len(docs), close))}
+
+
+def test_a_repeated_line_joins_nothing(spark):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    line = [word() for _ in range(10)]
+    docs = [(i, " ".join([word() for _ in range(700)] + line * 30)) for i in range(12)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert simhash.keep_one(frame, words=5, radius=12, similarity=0.8).count() == 12
+
+
+def test_similarity_is_exact(spark):
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    line, docs = [word() for _ in range(10)], [(0, None), (1, " "), (2, "one two"), (3, "One  two")]
+    for _ in range(40):
+        base = [word() for _ in range(rnd.randint(30, 200))] + line
+        for copy in range(6):
+            text = list(base)
+            for k in rnd.sample(range(len(text)), round(len(text) * 0.01 * copy)):
+                text[k] = word()
+            docs.append((len(docs), " ".join(text)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame, words=5, radius=12, similarity=0.8).collect()}
+    assert got == jaccard_groups(docs)
+
+
 def test_components(spark):
     rnd = random.Random(3)
     links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(300, 360)] + [(5, None), (7, 7)]

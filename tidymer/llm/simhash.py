@@ -8,10 +8,8 @@ counters, all 64 distances at once; slices in which every distance exceeds the r
 Buckets above ``CELL`` nodes are cut into cells of two parts each, so that every pair still meets in one bounded
 cell. A task passes on a spanning forest of the links that it finds, never all pairs; components follow from these.
 
-Where a similarity is asked for, a radius alone says too little: at a Jaccard similarity of 0.8 fingerprints differ in about
-10 of 64 bits, give or take 3, and so do some of less similar texts. Then every document also gets a sketch of ``SKETCH``
-further words of 64 bits from the same shingles; nodes that have any link within the radius are compared once more, and only links
-whose bits over fingerprint and sketch differ as little as the similarity asks (with 1.5 deviations of allowance) stay.
+Where a similarity is asked for, ``jaccard`` finds the links by the exact similarity of shingle sets and fingerprints are not used: at
+a Jaccard similarity of 0.8 they differ in about 10 of 64 bits, give or take 3, and so do some of less similar texts.
 
 Null and empty texts have fingerprint zero and are linked like any other; repeated rows share a node; other columns
 are not read; an empty table gives an empty table. Rows with a null id are linked, but name no component unless
@@ -30,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import ship
+from . import jaccard
 from .components import connected_components, merge_labels
 from .shared import written
 
@@ -200,15 +199,12 @@ def links(nodes: DataFrame, radius: int, most: int | None = None) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, similarity: float | None = None) -> DataFrame:
-    """id, fp and component_id (the component's least id) of every row; with ``similarity``, links must reach that Jaccard similarity of shingles as estimated from the sketches."""
-    sketch = 0 if similarity is None else SKETCH
-    prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, sketch=sketch), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.min("sketch").alias("sketch"))
-    edges = links(nodes, radius)
+    """id, fp and component_id (the component's least id) of every row; with ``similarity``, links are the pairs that reach that Jaccard similarity of shingle sets, whatever the radius."""
     if similarity is not None:
-        edges = written(edges, "candidates")
-        linked = edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct()
-        edges = links(written(nodes.select("fp", "sketch").join(linked, "fp", "left_semi"), "linked"), radius, most_bits(similarity, sketch))
+        return jaccard.near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, similarity=similarity)
+    prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "fingerprints")
+    nodes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
+    edges = links(nodes, radius)
     roots = connected_components(edges)
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
