@@ -24,8 +24,8 @@ def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: chains of links of a similarity of 0.8 or more on five-word shingles."""
-    return simhash.keep_one(docs, words=5, radius=12, similarity=0.8)
+    """One document of each group of near-duplicates: chains of links of an exact Jaccard similarity of 0.8 or more of five-word shingle sets."""
+    return simhash.keep_one(docs, words=5, similarity=0.8)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
