@@ -81,6 +81,23 @@ def test_agglomerative(spark, method, expected):
     assert {r.id: r.cluster for r in graph.agglomerative(edges, "block", method, 2.0).collect()} == expected
 
 
+def test_average_linkage_takes_all_distances_of_a_component(spark):
+    from tidymer.plans.vectors import average_linkage
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((60, 6))
+    x[40:50] = x[:10] + 0.4 * rng.standard_normal((10, 6))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = 1 - np.round(unit @ unit.T, 9)
+    for cut in (0.1, 0.3, 0.6):
+        want = graph._merge_steps(d, "average", cut)
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, vec array<double>")
+        edges = spark.createDataFrame([(i, j) for i in range(60) for j in range(i) if d[i, j] <= cut], "a int, b int")
+        got = {r.id: (r.component, r.cluster) for r in average_linkage(frame, edges, cut).collect()}
+        assert len(got) == 60
+        assert all((got[i] == got[j]) == (want[i] == want[j]) for i in range(60) for j in range(i))
+
+
 def test_neighbour_joining_gives_back_a_tree(spark):
     d = {("a", "b"): 5, ("a", "c"): 9, ("a", "d"): 9, ("b", "c"): 10, ("b", "d"): 10, ("c", "d"): 8}
     tree = graph.neighbour_joining(spark.createDataFrame([(*k, float(v)) for k, v in d.items()], "a string, b string, dist double")).collect()

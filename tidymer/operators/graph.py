@@ -88,6 +88,7 @@ def agglomerative(edges: DataFrame, block: str, method: str, cut: float) -> Data
     """block, id, cluster (number within the block), centre. ``edges`` (block, a, b, distance); a missing pair is infinitely far.
 
     Blocks must be bounded, such as components of the graph of pairs within the cut: no cluster of single, complete or average linkage leaves these.
+    Average and Ward linkage need all pairs of a block, also those beyond the cut; an entity without a pair has no row.
     """
     kind = edges.schema["a"].dataType.simpleString()
 
