@@ -238,7 +238,7 @@ def family(clusters: DataFrame, means: DataFrame, cut: float) -> DataFrame:
 
 
 def gains_losses(members: DataFrame, ages: DataFrame, clades: DataFrame) -> DataFrame:
-    """clade, age, gained, lost: clusters of an age present in a clade, and clusters older than the clade's species spread without any member there."""
+    """clade, age, gained, lost: clusters of an age present in a clade, and those without any member there, also ones that arose in another lineage."""
     present = members.join(clades, "species").select("cluster", "clade").distinct()
     everywhere = ages.join(clades.select("clade").distinct())
     flagged = everywhere.join(present.withColumn("here", F.lit(1)), ["cluster", "clade"], "left")
