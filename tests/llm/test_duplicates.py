@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidymer.llm import components, embedding_dedup, simhash
+from tidymer.llm import components, embedding_dedup, jaccard, simhash
 
 
 def roots_of(n, links):
@@ -95,7 +95,7 @@ def jaccard_groups(docs, words=5, least=0.8):
     for _, text in docs:
         parts = (text or "").lower().split()
         sets.append({tuple(parts[k : k + words]) for k in range(max(1, len(parts) - words + 1))})
-    close = [(i, j) for i in range(len(docs)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 10 * least * len(sets[i] | sets[j])]
+    close = [(i, j) for i in range(len(docs)) for j in range(i) if (sets[i] & sets[j] or not (sets[i] or sets[j])) and 10 * len(sets[i] & sets[j]) >= 10 * least * len(sets[i] | sets[j])]
     return {docs[i][0]: docs[r][0] for i, r in enumerate(roots_of(len(docs), close))}
 
 
@@ -108,7 +108,15 @@ def test_a_repeated_line_joins_nothing(spark):
     assert simhash.keep_one(frame, words=5, radius=12, similarity=0.8).count() == 12
 
 
-def test_similarity_is_exact(spark):
+@pytest.mark.parametrize("crowded", [False, True])
+def test_similarity_is_exact(spark, monkeypatch, crowded):
+    """All groups of brute force, with every shingle salted and buckets cut into cells too, over small batches."""
+    if crowded:
+        monkeypatch.setattr(jaccard, "CELL", 3)
+        monkeypatch.setattr(jaccard, "HOT", 0)
+        monkeypatch.setattr(jaccard, "CROWDED", 0)
+        monkeypatch.setattr(jaccard, "FEW", 1)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
     rnd = random.Random(13)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
     line, docs = [word() for _ in range(10)], [(0, None), (1, " "), (2, "one two"), (3, "One  two")]
@@ -121,9 +129,35 @@ def test_similarity_is_exact(spark):
             docs.append((len(docs), " ".join(text)))
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame, words=5, radius=12, similarity=0.8).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == jaccard_groups(docs)
 
 
+def test_sketches_and_prefixes_lose_no_pair():
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 50, jaccard.CELLS)
+    for n in (1, 4, 30, 300, 3000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for share in (0.89, 0.95):
+            b = np.unique(np.r_[rng.choice(a, round(share * len(a)), replace=False), rng.integers(0, 2**63, round((1 - share) * len(a))).astype(np.uint64)])
+            both = len(np.intersect1d(a, b))
+            x, y = jaccard.sketch(a), jaccard.sketch(b)
+            while len(x) > len(y):
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            while len(y) > len(x):
+                y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+            assert int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= len(a) + len(b) - 2 * both
+            if both >= 0.8 * (len(a) + len(b) - both):
+                assert np.intersect1d(jaccard.prefix(a, counts, 0.8, 25)[0], jaccard.prefix(b, counts, 0.8, 25)[0]).size
+
+
+def test_same_groups_as_brute_force_on_the_documents(spark):
+    """All documents of the small table: no pair of a similarity of 0.8 or more is lost, none below it is a link."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, words=5, similarity=0.8).collect()}
+    assert got == {k: v for k, v in jaccard_groups(sorted(map(tuple, docs.collect()))).items()}
+
+
 def test_components(spark):
     rnd = random.Random(3)
     links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(300, 360)] + [(5, None), (7, 7)]

@@ -51,6 +51,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         drop_written(before)
 
 
+def component_ids(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """fp, component_id (the least id of its component) from nodes (fp, least) and roots (node, root)."""
+    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    ids = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "ids")  # a table of its own: the join can be split where a root has many nodes
+    return rooted.join(ids, "root").select("fp", "component_id")
+
+
 def merge_labels(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> None:
     """Merge the components of ``label`` (each node's least known fellow) along the links a-b."""
     while True:

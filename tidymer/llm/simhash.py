@@ -8,8 +8,8 @@ counters, all 64 distances at once; slices in which every distance exceeds the r
 Buckets above ``CELL`` nodes are cut into cells of two parts each, so that every pair still meets in one bounded
 cell. A task passes on a spanning forest of the links that it finds, never all pairs; components follow from these.
 
-Where a similarity is asked for, ``jaccard`` finds the links by the exact similarity of shingle sets and fingerprints are not used: at
-a Jaccard similarity of 0.8 they differ in about 10 of 64 bits, give or take 3, and so do some of less similar texts.
+At a Jaccard similarity of 0.8 fingerprints differ in about 10 of 64 bits, give or take 3, and so do some of less similar texts. So where
+a similarity is asked for, links of fingerprints are candidates only: ``jaccard`` verifies them by whole shingle sets and adds the candidates that they miss.
 
 Null and empty texts have fingerprint zero and are linked like any other; repeated rows share a node; other columns
 are not read; an empty table gives an empty table. Rows with a null id are linked, but name no component unless
@@ -19,7 +19,6 @@ the component has no other id, where component_id is null.
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,59 +28,26 @@ from pyspark.sql import functions as F
 
 from .. import ship
 from . import jaccard
-from .components import connected_components, merge_labels
+from .components import component_ids, connected_components, merge_labels
 from .shared import written
+from .shingles import BITS, fingerprint, hashes
 
-BITS, CELL, SHINGLES = 64, 1024, 1 << 16
+CELL = 1024
 #: (node, slice) comparisons, and rows, that a task holds at a time.
 SLAB, ROWS = 1 << 14, 1 << 17
-SEED, SKETCH = 42, 7
 
 
-def fingerprint(text: str | None, words: int, sketch: int = 0) -> np.ndarray:
-    """The fingerprint and ``sketch`` further words: a bit is 1 if it is set in over half of the shingles' XXH64 values (or of their multiples by odd constants, folded)."""
-    import xxhash
-
-    parts = (text or "").encode().lower().split()  # of bytes: A-Z only, and exactly the six ASCII blanks
-    if not parts:
-        return np.zeros(1 + sketch, np.uint64)
-    joined, n, digest = b" ".join(parts), max(1, len(parts) - words + 1), xxhash.xxh64_intdigest
-    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-    starts = [0, *(ends[: n - 1] + 1).tolist()]
-    ends = ends[min(words, len(parts)) - 1 :].tolist()
-    total = np.zeros((1 + sketch, BITS), np.int64)
-    for k in range(0, n, SHINGLES):
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[k : k + SHINGLES], ends[k : k + SHINGLES], strict=True)), np.uint64)
-        for word in range(1 + sketch):
-            planes = np.unpackbits((hashes if not word else _multiple(hashes, word)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            for j in range(0, len(planes), 255):  # sums of so many bits fit a byte
-                total[word] += planes[j : j + 255].sum(axis=0, dtype=np.uint8)
-    return np.packbits(total * 2 > n, axis=1, bitorder="little").view(np.uint64)[:, 0]
-
-
-def _multiple(hashes: np.ndarray, word: int) -> np.ndarray:
-    """Hashes as good as independent of the given ones."""
-    x = (hashes ^ hashes >> np.uint64(31)) * np.uint64((0x9E3779B97F4A7C15 * (2 * word + 1)) % 2**64)
-    return x ^ x >> np.uint64(29) ^ x >> np.uint64(47)
-
-
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, sketch: int = 0) -> DataFrame:
-    """id, fp (signed long) and sketch (binary, empty without words) of every row, over shingles of ``words`` words."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """id and fp (signed long) of every row, over shingles of ``words`` words."""
 
     ship(docs.sparkSession)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), words, sketch) for t in batch.column(1)], np.uint64).reshape(-1, 1 + sketch)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[:, 0].view(np.int64)), pa.array([r.tobytes() for r in found[:, 1:]], pa.binary())], names=[id_col, "fp", "sketch"])
+            found = np.array([fingerprint(hashes(t.as_py(), words)) for t in batch.column(1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(blocks, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, fp long, sketch binary")
-
-
-def most_bits(similarity: float, words: int) -> int:
-    """Differing bits, of all of fingerprint and sketch, up to which texts of the Jaccard similarity are accepted: the expected number and 1.5 deviations."""
-    n, share = BITS * (1 + words), math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return math.floor(n * share + 1.5 * math.sqrt(n * share * (1 - share)))
+    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(blocks, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
 def _keys(radius: int) -> Column:
@@ -126,12 +92,12 @@ def _within(fp: np.ndarray, node: np.ndarray, part: np.ndarray, valid: np.ndarra
     return node[at], part[at] * BITS + slot
 
 
-def _links(cell: np.ndarray, fp: np.ndarray, radius: int, sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links inside the cells; rows of a cell are consecutive. With sketches, only of links with at most ``most`` differing bits in all."""
+def _links(cell: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links inside the cells; rows of a cell are consecutive."""
     first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     size = np.diff(np.r_[first, len(cell)])
     many = np.repeat(size > 1, size)
-    fp, sketch, size = fp[many], sketch[many], size[size > 1]
+    fp, size = fp[many], size[size > 1]
     n = len(fp)
     if not n:
         return fp, fp
@@ -150,64 +116,46 @@ def _links(cell: np.ndarray, fp: np.ndarray, radius: int, sketch: np.ndarray, mo
         from_, to = np.maximum(node + 1 - part * BITS, 0).astype(np.uint64), np.minimum(end[node] - part * BITS, BITS).astype(np.uint64)
         valid = full << from_ & full >> (np.uint64(BITS) - to)
         for j in range(0, len(node), SLAB):
-            x, y = _within(fp, node[j : j + SLAB], part[j : j + SLAB], valid[j : j + SLAB], planes, radius)
-            if not sketch.shape[1]:
-                merge_labels(x, y, label)
-                continue
-            for i in range(0, len(x), SLAB):
-                a, b = x[i : i + SLAB], y[i : i + SLAB]
-                apart = label[a] != label[b]  # links inside a component add nothing
-                a, b = a[apart], b[apart]
-                bits = np.bitwise_count(fp[a] ^ fp[b]).astype(int) + np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=int)
-                merge_labels(a[bits <= most], b[bits <= most], label)
+            merge_labels(*_within(fp, node[j : j + SLAB], part[j : j + SLAB], valid[j : j + SLAB], planes, radius), label)
     child = np.flatnonzero(label != np.arange(n))
     return fp[child], fp[label[child]]
 
 
-def links(nodes: DataFrame, radius: int, most: int | None = None) -> DataFrame:
-    """Edges (a, b) that connect exactly the fingerprints (column fp, each once) that chains of links of at most ``radius`` differing bits connect.
-
-    With ``most``, links must also differ in at most so many bits of fingerprint and sketch (column sketch).
-    """
+def links(nodes: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) that connect exactly the fingerprints (column fp, each once) that chains of links of at most ``radius`` differing bits connect."""
     ship(nodes.sparkSession)
-    carried = ["fp"] if most is None else ["fp", "sketch"]
-    buckets = nodes.select(*carried, F.explode(_keys(radius)).alias("key"))
+    buckets = nodes.select("fp", F.explode(_keys(radius)).alias("key"))
     large = written(buckets.groupBy("key").count().where(F.col("count") > CELL).select("key", F.ceil(F.col("count") / CELL).cast("int").alias("parts")), "buckets")
     own = F.pmod(F.xxhash64(F.col("fp"), F.lit("part")), F.col("parts")).cast("int")
     cells = F.when(F.col("parts").isNull(), F.array("key")).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.xxhash64("key", F.least(other, own), F.greatest(other, own)))
     )
-    dealt = buckets.join(large, "key", "left").select(*carried, F.explode(cells).alias("cell"))
+    dealt = buckets.join(large, "key", "left").select("fp", F.explode(cells).alias("cell"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, fp, sketch = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, 0 if most is None else SKETCH), np.uint64)
+        cell, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
                 cell = np.r_[cell, batch.column("cell").to_numpy()]
                 fp = np.r_[fp, batch.column("fp").to_numpy().view(np.uint64)]
-                more = np.zeros((batch.num_rows, 0), np.uint64) if most is None else np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH)
-                sketch = np.concatenate([sketch, more])
                 if len(cell) < ROWS:
                     continue
             whole = len(cell) if batch is None else int(np.searchsorted(cell, cell[-1]))  # the last cell may go on
             if whole:
-                a, b = _links(cell[:whole], fp[:whole], radius, sketch[:whole], most or 0)
-                cell, fp, sketch = cell[whole:], fp[whole:], sketch[whole:]
+                a, b = _links(cell[:whole], fp[:whole], radius)
+                cell, fp = cell[whole:], fp[whole:]
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, similarity: float | None = None) -> DataFrame:
-    """id, fp and component_id (the component's least id) of every row; with ``similarity``, links are the pairs that reach that Jaccard similarity of shingle sets, whatever the radius."""
+    """id, fp and component_id (the component's least id) of every row; with ``similarity``, links are exactly the pairs that reach that Jaccard similarity of shingle sets."""
     if similarity is not None:
-        return jaccard.near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, similarity=similarity)
+        return jaccard.near_duplicates(docs, lambda nodes: links(nodes, radius), id_col=id_col, text_col=text_col, words=words, similarity=similarity)
     prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
-    edges = links(nodes, radius)
-    roots = connected_components(edges)
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    nodes = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
+    named = component_ids(nodes, connected_components(links(nodes.select("fp"), radius)))
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
 
 
