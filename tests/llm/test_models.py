@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import pytest
+import zstandard
+from pyspark.sql import Row
 
 import corpus_pipeline
 from tidymer.llm import lang_id, mixing, queries, simhash, toxicity
@@ -46,6 +49,31 @@ def test_toxicity_held_out(spark):
     assert auc >= 0.9
 
 
+def test_scores_are_those_of_plain_compression(spark):
+    """Every feature and score again, window by window, by a loop that compresses each under freshly loaded dictionaries."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    params = toxicity.compression()
+
+    def length(window, content):
+        how = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+        return len(how.compress(window))
+
+    few = docs.where("doc_id % 40 = 0 AND length(text) < 3000").collect() + [Row(doc_id=-1, text=""), Row(doc_id=-2, text=None)]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame([(r.doc_id, r.text) for r in few], "doc_id long, text string"), model).collect()}
+    for r in few:
+        text, saved, at = (r.text or "").encode().lower(), [], 0
+        while at == 0 or at + toxicity.OVERLAP < len(text):
+            window = text[at : at + toxicity.WINDOW]
+            saved.append(length(window, model.plain) - length(window, model.toxic + model.plain))
+            at += toxicity.WINDOW - toxicity.OVERLAP
+        top = sorted([*saved, 0, 0, 0], reverse=True)[:3]
+        shares = [sum(s >= m for s in saved) / len(saved) for m in toxicity.MARKS]
+        x = [*top, sum(saved) / len(saved), math.log(len(saved)), *shares, sum(s >= toxicity.MARKS[-1] for s in saved) ** 0.5]
+        z = sum((v - m) / d * w for v, m, d, w in zip(x, model.mean, model.scale, model.weights[:-1], strict=True)) + model.weights[-1]
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
 def test_toxicity_edges(spark, edges, empty):
     labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(20, 60)] + [(None, 1), (4, None)], "doc_id long, toxic int")
     model = toxicity.fit(edges, labels)

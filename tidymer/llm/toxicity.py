@@ -1,15 +1,18 @@
 """Toxicity by compression distance under zstandard dictionaries.
 
 Two dictionaries are trained from labelled documents: one on ordinary text, one on toxic text. Toxic text for training
-is what sets toxic documents apart: their words that ordinary documents lack or rarely hold, in order. A text is cut into
-windows; each is compressed with the ordinary dictionary alone and with the toxic one before it, and the bytes saved are
-its distance. A logistic calibration of a text's distances (the largest three, their mean, the shares and the number above
-two thresholds, and the number of windows) gives the score; its threshold is 0.5.
-
-The fit uses at most ``MAX_DOCS`` labelled documents of each class, of at most ``MAX_BYTES`` bytes together, chosen by a
-hash of their ids; so its size, and that of the broadcast dictionaries, is bounded. Every text is scored whole.
-
-Nulls and empty texts are one empty window. Labels with a null id or value, and texts longer than ``MAX_BYTES``, are not
+is what sets toxic documents apart: their words that ordinary documents lack or rarely hold, in order; dictionaries of whole
+toxic texts hold mostly what both classes share and tell them apart badly (figures in the README). A text is cut into
+windows; each is compressed with the ordinary dictionary alone and with the toxic one before it, as otherwise the differences of
+ordinary passages hide those of toxic ones; the bytes saved are its distance. A logistic calibration of a text's distances (the largest
+three, their mean, the shares and the number above two thresholds, and the number of windows) gives the score; its threshold is 0.5.
+Calibration uses other documents than the dictionaries. Dictionaries are given to the compressor as plain content: their
+entropy tables fit passages of a kilobyte, not windows, and cannot be joined.
+
+The fit uses at most ``MAX_DOCS`` labelled documents of each class, of at most ``MAX_TEXT`` bytes each and ``MAX_BYTES`` bytes together,
+chosen by a hash of their ids; so its size, and that of the broadcast dictionaries, is bounded. Every text is scored whole.
+
+Nulls and empty texts are one empty window. Labels with a null id or value, documents labelled both ways, and texts longer than ``MAX_TEXT``, are not
 learnt from. Without labels of both classes every score is the share of toxic ones (0 without any). Repeated rows get equal results;
 of the documents only id and text are read; an empty table gives an empty table.
 """
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from .. import ship
 from .shared import held_out
 
-MAX_DOCS, MAX_BYTES = 2000, 12_000_000
+MAX_DOCS, MAX_BYTES, MAX_TEXT = 2000, 12_000_000, 200_000
 WINDOW, OVERLAP, TOXIC_BYTES, PLAIN_BYTES, PASSAGE = 96, 12, 8192, 110_000, 2048
 #: Bytes saved from which a window counts, and the weight of the ordinary class in calibration.
 MARKS, PLAIN_WEIGHT = (2, 4), 3.0
@@ -49,8 +52,12 @@ def _dictionary(size: int, samples: list[bytes]) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def compression() -> zstandard.ZstdCompressionParameters:
+    return zstandard.ZstdCompressionParameters.from_level(9, min_match=4, strategy=zstandard.STRATEGY_BTLAZY2, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    how = zstandard.ZstdCompressionParameters.from_level(9, min_match=4, strategy=zstandard.STRATEGY_BTLAZY2, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
+    how = compression()
     known = zstandard.ZstdCompressionDict(content or b"\n" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     known.precompute_compress(compression_params=how)
     return zstandard.ZstdCompressor(dict_data=known, compression_params=how)
@@ -110,23 +117,31 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_DOCS) -> Model:
-    """A model from labelled documents whose crc32(id) mod 5 is not 0."""
-    marked = labels.where(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label")).distinct()
+    """A model from labelled documents whose crc32(id) mod 5 is not 0: one half of them, by a hash of the id, trains the dictionaries, the other calibrates."""
+    usable = labels.where(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("label_id"))
+    marked = usable.agg(F.min(label_col).cast("int").alias("label"), F.max(label_col).cast("int").alias("other")).where("label = other").select("label_id", "label")
     few = [marked.where(F.col("label") == k).orderBy(F.xxhash64("label_id"), "label_id").limit(max_docs) for k in (0, 1)]
     chosen = few[0].union(few[1])  # at most 2 * max_docs ids: small enough to broadcast
-    rows = docs.where(F.octet_length(text_col) <= MAX_BYTES).join(F.broadcast(chosen), F.col(id_col) == F.col("label_id")).select("label_id", "label", F.col(text_col).alias("text")).orderBy(F.xxhash64("label_id"), "label_id", "text")
-    texts, held = {0: {}, 1: {}}, [0, 0]
+    trains = F.pmod(F.xxhash64("label_id", F.lit("part")), F.lit(2)) == 0
+    rows = docs.where(F.octet_length(text_col) <= MAX_TEXT).join(F.broadcast(chosen), F.col(id_col) == F.col("label_id")).select("label_id", "label", trains.alias("trains"), F.col(text_col).alias("text")).orderBy(F.xxhash64("label_id"), "label_id", "text")
+    texts, held = {(k, t): {} for k in (0, 1) for t in (True, False)}, [0, 0]
     for r in rows.toLocalIterator():
-        if r.text not in texts[r.label] and held[r.label] + len(r.text) <= MAX_BYTES:
-            held[r.label] += len(r.text)
-            texts[r.label][r.text] = None
-    plain, toxic = ([_bytes(t) for t in texts[k]] for k in (0, 1))
+        text = _bytes(r.text)
+        if held[r.label] + len(text) <= MAX_BYTES and text not in texts[r.label, r.trains]:
+            held[r.label] += len(text)
+            texts[r.label, r.trains][text] = None
+    return trained(*(list(texts[k, t]) for t in (True, False) for k in (1, 0)))
+
+
+def trained(toxic: list[bytes], plain: list[bytes], more_toxic: list[bytes], more_plain: list[bytes]) -> Model:
+    """Dictionaries from the first two lists, calibrated on the other two; a list that is empty is replaced by its fellow."""
+    toxic, more_toxic, plain, more_plain = toxic or more_toxic, more_toxic or toxic, plain or more_plain, more_plain or plain
     if not plain or not toxic:
         return Model(b"", b"", None, None, None, 1.0 if toxic else 0.0)
     model = Model(_dictionary(TOXIC_BYTES, distilled(toxic, plain)), _dictionary(PLAIN_BYTES, [t[i : i + PASSAGE] for t in plain for i in range(0, len(t), PASSAGE)]), None, None, None)
     scorer = Scorer(model)
-    x = np.array([scorer.features(t) for t in toxic + plain])
-    return Model(model.toxic, model.plain, *_calibrated(x, np.r_[np.ones(len(toxic)), np.zeros(len(plain))]))
+    x = np.array([scorer.features(t) for t in more_toxic + more_plain])
+    return Model(model.toxic, model.plain, *_calibrated(x, np.r_[np.ones(len(more_toxic)), np.zeros(len(more_plain))]))
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, keep: bool = False) -> DataFrame:
