@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -96,8 +97,9 @@ def license_row(text):
     best, found = 0.0, set(labels)
     for label, template in license_scan.TEMPLATES:
         t = set(template.split())
-        for b in range(0, max(len(words) - license_scan.STEP - 1, 0) // license_scan.STEP + 1):
-            share = len(t & set(words[b * license_scan.STEP : b * license_scan.STEP + license_scan.BLOCK])) / len(t)
+        step = license_scan.step_of(template)
+        for b in range(0, max(len(words) - step - 1, 0) // step + 1):
+            share = len(t & set(words[b * step : b * step + 2 * step])) / len(t)
             if share >= 0.8:
                 found.add(label)
                 best = max(best, share)
@@ -106,7 +108,7 @@ def license_row(text):
 
 def test_license_scan(spark, edges, empty):
     rows = [(i, t) for i, (_, t) in enumerate(license_scan.TEMPLATES)] + [(1050, "x " * 40 + "Permission to use, copy, modify and/or distribute this software for any purpose with or without fee is granted" + " y" * 90), (1051, "the MIT-License, Apache\nlicense; GENERAL public license mit license")]
-    frame = spark.createDataFrame(rows, "doc_id long, text string").unionByName(edges.select("doc_id", "text"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").unionByName(edges, allowMissingColumns=True)
     got = license_scan.scan(frame)
     want = Counter((r.doc_id, *license_row(r.text)) for r in frame.collect())
     assert Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in got.collect()) == want
@@ -114,6 +116,22 @@ def test_license_scan(spark, edges, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_filters_of_the_license_join(spark):
+    """Every template that a block matches is a candidate; the positional filter leaves out candidates that the prefixes and sizes allow."""
+    templates = license_scan.TEMPLATES
+    order = sorted({w for _, t in templates for w in t.split()})
+    entries = spark.createDataFrame(license_scan.prefixes(order, templates, 0.8), "step int, template int, label string, words array<string>, needed int, word string, place int")
+    rnd, rows = random.Random(8), []
+    for k in range(300):
+        own = set(rnd.choice(templates)[1].split())
+        has = set(rnd.sample(sorted(own), rnd.randint(len(own) // 2, len(own)))) | set(rnd.sample(order, 8))
+        rows.append((k, 32, 0, sorted(has), 4))
+    blocks = spark.createDataFrame(rows, "row long, step int, block int, has array<string>, least int")
+    found, loose = ({(r.row, r.template) for r in license_scan.candidates(blocks, entries, p).collect()} for p in (True, False))
+    want = {(k, i) for k, _, _, has, _ in rows for i, (_, t) in enumerate(templates) if license_scan.step_of(t) == 32 and len(set(has) & set(t.split())) >= license_scan.needed(len(set(t.split())), 0.8)}
+    assert want <= found < loose
+
+
 def quality_row(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)

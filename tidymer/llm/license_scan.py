@@ -1,12 +1,13 @@
 """License scans: phrases in whole texts, and an exact set-similarity join of text blocks with license templates.
 
-A text's words are cut into blocks of ``BLOCK`` words, one beginning every ``STEP`` words, so that any run of up to ``STEP``
-words lies whole in a block. A block matches a template if it holds at least ``threshold`` of the template's distinct words.
-Template words are ordered by how many documents hold them, rarest first. A template that needs a of its n words shares one
-of its first n - a + 1 with every block that matches (prefix filter); a block needs a words of the templates at least (length
-filter); a prefix word at place i leaves at most n - i words to share (positional filter). What passes is verified exactly.
-Texts without any prefix word have no candidate block and stop at the scan.
-
+A text's words are cut into blocks of 2 s words, one beginning every s words, so that any run of up to s words lies whole in a block;
+s is ``STEP`` for templates of up to so many words and the next power of two for longer ones. A block matches a template if it holds at least
+``threshold`` of the template's distinct words. Words of templates are ordered by how many documents hold them, rarest first; others can't match
+and are left out. A template that needs a of its n words shares one of its first n - a + 1 with every block that matches, and the block, of m such
+words, one of its first m - a + 1 (prefix filter). Blocks are indexed by the prefix for the least a of all templates; a template that needs more
+than m words (length filter), or more than those from the shared word on (positional filter), is left out. What passes is verified exactly.
+
+Texts are read once: blocks with as many template words as some template needs, and the template words of each document, are written.
 Nulls and empty texts have no words. Repeated rows get their own equal results. Of the documents only id and text are read;
 an empty table gives an empty table.
 """
@@ -20,13 +21,13 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-BLOCK, STEP = 64, 32
+STEP, THRESHOLD = 32, 0.8
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Phrases of the contract and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Opening words of public license notices and their labels.
+#: Opening words of public license notices, then two whole licenses, and their labels.
 TEMPLATES = [
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
@@ -41,6 +42,8 @@ TEMPLATES = [
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
 ]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -66,44 +69,65 @@ def _starts(words: Column, phrase: list[str]) -> Column:
     return F.when(present, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), here)).otherwise(F.array().cast("array<int>"))
 
 
-def prefixes(documents_with: dict[str, int], templates: list[tuple[str, str]], threshold: float) -> list[tuple[int, str, list[str], int, str, int]]:
-    """(template, label, its words from the rarest, words needed, prefix word, its place) for every prefix word."""
-    rows = []
+def step_of(text: str) -> int:
+    """Words between the beginnings of the blocks that a template is held against."""
+    return max(STEP, 1 << (len(text.split()) - 1).bit_length())
+
+
+def needed(n: int, threshold: float) -> int:
+    return math.ceil(threshold * n - 1e-9)
+
+
+def prefixes(order: list[str], templates: list[tuple[str, str]], threshold: float) -> list[tuple[int, int, str, list[str], int, str, int]]:
+    """(step, template, label, its words in the order, words needed, prefix word, its place) for every prefix word."""
+    rows, rank = [], {w: i for i, w in enumerate(order)}
     for number, (label, text) in enumerate(templates):
-        words = sorted(set(text.split()), key=lambda w: (documents_with.get(w, 0), w))
-        needed = math.ceil(threshold * len(words) - 1e-9)
-        rows += [(number, label, words, needed, w, i) for i, w in enumerate(words[: len(words) - needed + 1])]
+        words = sorted(set(text.split()), key=rank.__getitem__)
+        least = needed(len(words), threshold)
+        rows += [(step_of(text), number, label, words, least, w, i) for i, w in enumerate(words[: len(words) - least + 1])]
     return rows
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """id, n_words, n_base, first_word, last_word, base_labels, labels, score (best containment; 1 where a phrase stands) of every row."""
-    spark = docs.sparkSession
-    if any(len(text.split()) > STEP for _, text in templates):
-        raise ValueError(f"a template has more than {STEP} words")
-    universe = sorted({w for _, text in templates for w in text.split()})
+def candidates(blocks: DataFrame, entries: DataFrame, positional: bool = True) -> DataFrame:
+    """Rows (row, step, block, has, least) with the words of ``has`` in the order -> each with the templates of ``entries`` that prefix, length and positional filters leave."""
+    indexed = blocks.select("row", "step", "block", "has", F.posexplode(F.slice("has", 1, F.size("has") - F.col("least") + 1)).alias("at", "word"))
+    met = indexed.join(F.broadcast(entries), ["step", "word"]).where(F.size("has") >= F.col("needed"))  # entries: the prefix words of the templates given
+    if positional:
+        met = met.where((F.size("has") - F.col("at") >= F.col("needed")) & (F.size("words") - F.col("place") >= F.col("needed")))
+    return met.dropDuplicates(["row", "step", "block", "template"])
+
+
+def _blocks(words: Column, step: int, universe: list[str], least: int) -> Column:
+    """The template words of every block that holds at least ``least`` of them, with the block's number."""
     literal = F.array(*map(F.lit, universe))
+    last = F.floor(F.greatest(F.size(words) - step - 1, F.lit(0)) / step).cast("int")
+    every = F.transform(F.sequence(F.lit(0), last), lambda b: F.struct(F.lit(step).alias("step"), b.alias("block"), F.array_intersect(F.slice(words, b * step + 1, 2 * step), literal).alias("has"), F.lit(least).alias("least")))
+    return F.filter(every, lambda b: F.size(b["has"]) >= least)
+
+
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """id, n_words, n_base, first_word, last_word, base_labels, labels, score (best containment; 1 where a phrase stands) of every row."""
+    spark, words = docs.sparkSession, F.col("words")
+    universe, steps = {w for _, text in templates for w in text.split()}, {}
+    for _, text in templates:
+        own, least = steps.get(step_of(text), (set(), len(universe)))
+        steps[step_of(text)] = own | set(text.split()), min(least, needed(len(set(text.split())), threshold))
     worded = docs.select(F.col(id_col).alias("id"), words_of(text_col).alias("words"))
-    held = worded.select(F.explode(F.array_intersect("words", literal)).alias("word")).groupBy("word").count().collect()  # a row for each template word
-    index = prefixes({r[0]: r[1] for r in held}, templates, threshold)
-    rare = F.array(*map(F.lit, sorted({w for *_, w, _ in index})))
-
-    words = F.col("words")
-    starts = {p: _starts(words, p.split()) for p in phrases}
-    known = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(words) - STEP - 1, F.lit(0)) / STEP).cast("int")), lambda b: F.array_intersect(F.slice(words, b * STEP + 1, BLOCK), literal))
-    empty = F.array().cast("array<array<string>>")
-    located = worded.select("id", F.size(words).cast("long").alias("n_words"), *(s.alias(f"at_{i}") for i, s in enumerate(starts.values())), F.when(F.arrays_overlap(words, rare), F.filter(known, lambda b: F.arrays_overlap(b, rare))).otherwise(empty).alias("blocks"))
+    starts = [_starts(words, p.split()) for p in phrases]
+    held = F.array_intersect("words", F.array(*map(F.lit, sorted(universe))))
+    blocks = F.when(F.size("held") >= min(least for _, least in steps.values()), F.concat(*(_blocks(words, step, sorted(own), least) for step, (own, least) in steps.items())))
+    located = worded.withColumn("held", held).select("id", F.size(words).cast("long").alias("n_words"), "held", *(s.alias(f"at_{i}") for i, s in enumerate(starts)), blocks.alias("blocks"))
     places = F.flatten(F.array(*(f"at_{i}" for i in range(len(phrases)))))
     base = F.array_compact(F.array(*(F.when(F.size(f"at_{i}") > 0, F.lit(label)) for i, label in enumerate(phrases.values()))))
-    slim = located.select(
-        F.monotonically_increasing_id().alias("row"), "id", "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"), base.alias("base"), "blocks",
-    )
-    slim = written(slim, "blocks")
-
-    blocks = slim.select("row", F.posexplode("blocks").alias("block", "has"))
-    entries = spark.createDataFrame(index, "template int, label string, words array<string>, needed int, word string, place int")
-    met = blocks.withColumn("word", F.explode("has")).join(F.broadcast(entries), "word")  # entries: the prefix words of the templates given
-    near = met.where((F.size("has") >= F.col("needed")) & (F.size("words") - F.col("place") >= F.col("needed")))
+    slim = written(located.select(
+        F.monotonically_increasing_id().alias("row"), "id", "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"), base.alias("base"), "held", "blocks",
+    ), "blocks")
+
+    counts = {r[0]: r[1] for r in slim.select(F.explode("held").alias("word")).groupBy("word").count().collect()}  # a row for each template word
+    order = sorted(universe, key=lambda w: (counts.get(w, 0), w))
+    entries = spark.createDataFrame(prefixes(order, templates, threshold), "step int, template int, label string, words array<string>, needed int, word string, place int")
+    ordered = F.array_intersect(F.array(*map(F.lit, order)), F.col("b.has"))
+    near = candidates(slim.select("row", F.explode("blocks").alias("b")).select("row", "b.step", "b.block", ordered.alias("has"), "b.least"), entries)
     shared = F.size(F.array_intersect("has", "words"))
     verified = near.where(shared >= F.col("needed")).select("row", "label", (shared / F.size("words")).alias("containment"))
     found = verified.groupBy("row").agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
@@ -118,15 +142,15 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phr
 def oracle() -> str:
     """SQL for DuckDB with the same phrases, templates and threshold."""
     phrases = ", ".join(f"({p.split()!r}, '{l}')" for p, l in PHRASES.items())
-    templates = ", ".join(f"('{l}', {sorted(set(t.split()))!r})" for l, t in TEMPLATES)
+    templates = ", ".join(f"('{l}', {sorted(set(t.split()))!r}, {step_of(t)})" for l, t in TEMPLATES)
     return rf"""
 WITH w AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
 phrases(phrase, label) AS (VALUES {phrases}),
-templates(label, has) AS (VALUES {templates}),
+templates(label, has, step) AS (VALUES {templates}),
 places AS (SELECT row, label, i - 1 AS place FROM (SELECT row, words, unnest(range(1, len(words) + 1)) AS i FROM w) x JOIN phrases ON words[i] = phrase[1] AND words[i:i + len(phrase) - 1] = phrase),
 base AS (SELECT row, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY row),
-blocks AS (SELECT row, words[b * {STEP} + 1:b * {STEP} + {BLOCK}] AS block FROM (SELECT row, words, unnest(range(0, greatest(len(words) - {STEP} - 1, 0) // {STEP} + 1)) AS b FROM w) x),
-matches AS (SELECT row, label, len(list_intersect(has, block)) AS shared, len(has) AS n FROM blocks, templates WHERE len(list_intersect(has, block)) >= ceil(0.8 * len(has) - 1e-9)),
+blocks AS (SELECT row, step, words[b * step + 1:b * step + 2 * step] AS block FROM (SELECT row, words, step, unnest(range(0, greatest(len(words) - step - 1, 0) // step + 1)) AS b FROM w, (SELECT DISTINCT step FROM templates) s) x),
+matches AS (SELECT row, label, len(list_intersect(has, block)) AS shared, len(has) AS n FROM blocks b JOIN templates t ON b.step = t.step WHERE len(list_intersect(has, block)) >= ceil({THRESHOLD} * len(has) - 1e-9)),
 labelled AS (SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT row, label FROM matches UNION SELECT row, label FROM places) GROUP BY row),
 best AS (SELECT row, max(shared / n) AS containment FROM matches GROUP BY row)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(containment, 0.0) END AS score
