@@ -188,17 +188,48 @@ def test_embeddings(spark, monkeypatch, cell):
 
 def test_estimates_are_unbiased_and_bounds_hold():
     rng = np.random.default_rng(9)
-    x, q = rng.standard_normal((400, 64)), rng.standard_normal((1, 64))
-    turned, codes, c = embedding_dedup.encode(x)
-    tq = embedding_dedup.encode(q)[0][0]
-    estimate = embedding_dedup.corners(codes, 64) @ tq / c
-    true = turned @ tq
-    assert abs((estimate - true).mean()) < 0.02
-    mixed = 0.97 * turned + 0.03 * tq
-    for v in mixed / np.linalg.norm(mixed, axis=1, keepdims=True):
-        o = np.where(v >= 0, 1, -1) / 8
-        floor = embedding_dedup.floor_of(np.array([o @ v]), 0.95, 64, None)
-        assert not (v @ tq >= 0.95) or o @ tq >= floor[0]
+    for dim in (64, 100):
+        x, q = rng.standard_normal((400, dim)), rng.standard_normal((1, dim))
+        turned, codes, c = embedding_dedup.encode(x)
+        tq = embedding_dedup.encode(q)[0]
+        rounded = embedding_dedup.Rounded(tq)
+        product = rounded.products(slice(None), codes)[0]
+        assert np.abs(product - np.where(turned >= 0, 1, -1) @ tq[0] / np.sqrt(dim)).max() <= rounded.error[0] + 1e-6
+        assert abs((product / c - turned @ tq[0]).mean()) < 0.02
+        near = rng.uniform(0, 1, (400, 1)) * turned + tq
+        near /= np.linalg.norm(near, axis=1, keepdims=True)
+        c = np.abs(near).sum(axis=1) / np.sqrt(dim)
+        estimate = rounded.products(slice(None), embedding_dedup._packed(near >= 0))[0] / c
+        linked = near @ tq[0] >= 0.95
+        assert linked.any() and (estimate + rounded.error[0] / c + embedding_dedup.margin(c, 0.95, dim, None) >= 0.95 - 1e-5)[linked].all()
+
+
+def test_estimates_decide_what_is_recomputed(monkeypatch):
+    """All links are found; hardly any other pair is recomputed, and fewer with a narrower bound, which loses few."""
+    rng = np.random.default_rng(10)
+    base = rng.standard_normal((300, 64))
+    x = np.r_[base, base + 0.15 * rng.standard_normal((300, 64)), rng.standard_normal((900, 64))]
+    _, codes, c = embedding_dedup.encode(x)
+    seen, whole = [], np.einsum
+    monkeypatch.setattr(embedding_dedup.np, "einsum", lambda how, a, b: seen.append(len(a)) or whole(how, a, b))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j) for i, j in zip(*np.nonzero(unit @ unit.T >= 0.95), strict=True)}
+    found = lambda epsilon: {p for i, j in embedding_dedup.matches(x, x, codes, c, 0.95, epsilon) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    assert found(None) == want
+    wide, seen[:] = sum(seen), []
+    narrow = found(1.0)
+    assert len(want) <= wide < 0.02 * len(x) ** 2 and sum(seen) < wide
+    assert narrow <= want and len(narrow) >= 0.95 * len(want)
+
+
+def test_embedding_edges(spark):
+    """Null and repeated ids, and columns whose names clash with those used inside."""
+    rows = [(None, [1.0, 0.0]), (None, None), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [2.0, 0.0]), (5, [0.0, 1.0])]
+    frame = spark.createDataFrame([(i, v, 1, 2, 3, "x") for i, v in rows], "vec_id long, embedding array<double>, node int, vector int, root int, component string")
+    got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(frame.repartition(2)).where("vec_id IS NOT NULL").collect())
+    assert got == [(3, 2, 3, True), (3, 2, 3, True), (4, 2, 3, False), (5, 0, 5, True)]
+    assert [tuple(r) for r in embedding_dedup.near_duplicates(frame).where("vec_id IS NULL").collect()] == [(None, 0, None, True)] * 2
+    assert embedding_dedup.near_duplicates(frame, epsilon=4.0).count() == len(rows)
 
 
 def test_empty_embeddings(spark):

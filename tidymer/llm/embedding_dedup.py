@@ -2,18 +2,19 @@
 
 Every distinct vector is turned by a fixed random rotation and keeps one sign bit per dimension: its code, the nearest
 corner o of a hypercube. With it is stored the correction factor c = <x, o>, the cosine between vector and code.
-For another vector q, <o, q> / c estimates <x, q> without bias, and the angle between o and q bounds it: x lies
-arccos(c) from its code, so q can lie within the threshold's angle of x only if <o, q> >= cos(arccos(c) + arccos(threshold)).
-That is a one-sided bound of full confidence; ``epsilon`` replaces it by the estimate's narrower one, which may miss pairs.
-Pairs that the bound leaves are recomputed in double precision.
+For another vector q, <o, q> / c estimates <x, q> without bias. q is rounded to ``PLANES`` bits a dimension, so <o, q> is a sum of popcounts
+of the code with q's bit planes; what rounding may change is known for each q. A pair is left out if its estimate and the bound of its error stay
+below the threshold. The default bound has full confidence: x lies arccos(c) from its code, so a q within the threshold's angle of x has
+<o, q> >= cos(arccos(c) + arccos(threshold)), and an estimate less than that below the threshold. ``epsilon`` gives the narrower bound of
+so many deviations, which may miss pairs. What is left is recomputed in double precision.
 
 Vectors fall into cells around pivots (a bounded sample, which decides only speed). Two cells are compared unless
 their pivots lie further apart than both radii and the threshold's angle allow. Large cells are cut into parts of about
-``CELL`` vectors, so that every comparison is a task of bounded size; the work is that of all pairs of cells that cannot be excluded.
-A task passes on sums of links and a spanning forest, no pairs.
+``CELL`` vectors, so that every comparison is a task of bounded size; the work is that of all pairs of cells that cannot be excluded, which
+on isotropic vectors is all pairs. A task passes on sums of links and a spanning forest, no pairs.
 
 Vectors that are null, empty or zero, hold null or non-finite components, or have no id link with nothing and are their own
-component; vectors of different lengths never link. Equal vectors are one node and count each other as links. Only id
+component; vectors of different lengths never link. Equal vectors, and rows that repeat an id, are one node and count each other as links. Only id
 and vector are read. An empty table gives an empty table.
 """
 
@@ -32,9 +33,9 @@ from .. import ship
 from .components import connected_components, merge_labels
 from .shared import written
 
-#: Vectors in a part of a cell; pivots at most; rows and candidate pairs held at a time.
-CELL, PIVOTS, ROWS, PAIRS = 6144, 256, 256, 1 << 15
-SEED = 20
+#: Vectors in a part of a cell; pivots at most; rows, columns and candidate pairs held at a time; bits of a rounded dimension.
+CELL, PIVOTS, ROWS, COLUMNS, PAIRS, PLANES = 6144, 256, 64, 2048, 1 << 15, 4
+SEED, SLACK = 20, 1e-5
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -43,34 +44,62 @@ def rotation(dim: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as words of 64."""
+    return np.packbits(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64))), axis=1).view(np.uint64)
+
+
 def encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unit vectors after rotation, their packed sign bits, and <x, code>."""
     dim = vectors.shape[1]
     turned = vectors / np.linalg.norm(vectors, axis=1, keepdims=True) @ rotation(dim)
-    return turned, np.packbits(turned >= 0, axis=1), np.abs(turned).sum(axis=1) / math.sqrt(dim)
+    return turned, _packed(turned >= 0), np.abs(turned).sum(axis=1) / math.sqrt(dim)
+
+
+class Rounded:
+    """Turned unit vectors as bit planes: coordinate = least + step * number, and what rounding changes of a product with a code at most."""
 
+    def __init__(self, turned: np.ndarray):
+        self.dim = turned.shape[1]
+        self.least = turned.min(axis=1)
+        span = turned.max(axis=1) - self.least
+        self.step = np.where(span > 0, span, 1.0) / (2**PLANES - 1)
+        number = np.rint((turned - self.least[:, None]) / self.step[:, None]).astype(np.uint8)
+        self.total = number.sum(axis=1, dtype=np.int64)
+        self.planes = [_packed(number >> p & 1) for p in range(PLANES)]
+        self.error = np.abs(turned - self.least[:, None] - self.step[:, None] * number).sum(axis=1) / math.sqrt(self.dim)
 
-def corners(codes: np.ndarray, dim: int) -> np.ndarray:
-    return ((np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2) - 1) / np.float32(math.sqrt(dim))
+    def products(self, rows: slice, codes: np.ndarray) -> np.ndarray:
+        """<code, rounded vector> for the vectors of ``rows`` and all codes."""
+        sums = np.zeros((len(self.total[rows]), len(codes)), np.uint16 if self.dim << PLANES < 1 << 16 else np.uint32)
+        for p, plane in enumerate(self.planes):
+            for w in range(codes.shape[1]):
+                sums += np.bitwise_count(plane[rows, w, None] & codes[None, :, w]).astype(sums.dtype) << p
+        ones = (2 * np.bitwise_count(codes).sum(axis=1, dtype=np.int64) - self.dim).astype(np.float32)
+        scale = (self.step[rows, None] / math.sqrt(self.dim)).astype(np.float32)
+        return sums * (2 * scale) + (self.least[rows, None] / math.sqrt(self.dim)).astype(np.float32) * ones - scale * self.total[rows, None].astype(np.float32)
 
 
-def floor_of(c: np.ndarray, threshold: float, dim: int, epsilon: float | None) -> np.ndarray:
-    """Least <code, q> at which q may lie within the threshold of a vector with correction factor c."""
-    worst = np.cos(np.minimum(np.arccos(np.clip(c, -1, 1)) + math.acos(threshold), math.pi))
-    if epsilon is not None:
-        worst = np.maximum(worst, threshold * c - np.sqrt(np.maximum(0, 1 - c * c)) * epsilon / math.sqrt(max(1, dim - 1)))
-    return (worst - 1e-4).astype(np.float32)
+def margin(c: np.ndarray, threshold: float, dim: int, epsilon: float | None) -> np.ndarray:
+    """How far the estimate of a pair that reaches the threshold may lie below it, for correction factors c."""
+    widest = threshold - np.cos(np.minimum(np.arccos(np.clip(c, -1, 1)) + math.acos(threshold), math.pi)) / c
+    if epsilon is None:
+        return widest
+    return np.minimum(widest, np.sqrt(np.maximum(0, 1 - c * c)) / c * epsilon / math.sqrt(max(1, dim - 1)))
 
 
 def matches(a: np.ndarray, b: np.ndarray, codes: np.ndarray, c: np.ndarray, threshold: float, epsilon: float | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (of a, of b) with cosine >= threshold; codes and c belong to b."""
     dim = a.shape[1]
     unit_a, unit_b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
-    turned, boxes, floor = (unit_a @ rotation(dim)).astype(np.float32), corners(codes, dim).T, floor_of(c, threshold, dim, epsilon)
-    for k in range(0, len(a), ROWS):
-        at, to = np.nonzero(turned[k : k + ROWS] @ boxes >= floor)
+    rounded = Rounded(unit_a @ rotation(dim))
+    least = (threshold - margin(c, threshold, dim, epsilon) - SLACK).astype(np.float32)
+    factor, error = c.astype(np.float32), rounded.error.astype(np.float32) + np.float32(SLACK)
+    for k, m in itertools.product(range(0, len(a), ROWS), range(0, len(b), COLUMNS)):
+        rows, some = slice(k, k + ROWS), slice(m, m + COLUMNS)
+        at, to = np.nonzero(rounded.products(rows, codes[some]) >= least[some] * factor[some] - error[rows, None])  # estimate * c, to spare a division for each pair
         for j in range(0, len(at), PAIRS):
-            x, y = at[j : j + PAIRS] + k, to[j : j + PAIRS]
+            x, y = at[j : j + PAIRS] + k, to[j : j + PAIRS] + m
             near = np.einsum("ij,ij->i", unit_a[x], unit_b[y]) >= threshold
             yield x[near], y[near]
 
@@ -98,7 +127,7 @@ def _coded(nodes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                     names=["node", "copies", "vector", "code", "c", "dim", "pivot", "angle"],
                 )
 
-    return nodes.mapInArrow(blocks, "node long, copies long, vector array<double>, code binary, c double, dim int, pivot int, angle double")
+    return nodes.mapInArrow(blocks, f"node long, copies long, vector {nodes.schema['vector'].dataType.simpleString()}, code binary, c double, dim int, pivot int, angle double")
 
 
 def _pivots(nodes: DataFrame) -> dict[int, np.ndarray]:
@@ -155,7 +184,7 @@ def _compared(held: list[pa.RecordBatch], threshold: float, epsilon: float | Non
     if not len(low) or not len(high):
         return
     x = _matrix(rows.column("vector"), dim)
-    codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
+    codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint64).reshape(len(x), -1)
     c = rows.column("c").to_numpy()
     others, label = np.zeros(len(x), np.int64), np.arange(len(x))
     alone = np.array_equal(low, high)
@@ -172,7 +201,8 @@ def _compared(held: list[pa.RecordBatch], threshold: float, epsilon: float | Non
 
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, epsilon: float | None = None) -> DataFrame:
     """id, n_links, component_id (least id reachable), kept (it is the own id) of every row."""
-    slim = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"  # as stored; arithmetic is in double precision
+    slim = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast(kind).alias("vector"))
     usable = F.col("id").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0)
     fit = F.coalesce(usable, F.lit(False))
     nodes = written(slim.where(fit).groupBy("vector").agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()), "vectors")
