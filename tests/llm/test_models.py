@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
+import re
+import zlib
+from collections import Counter, defaultdict
 
 import pytest
 import zstandard
@@ -40,6 +42,46 @@ def test_backoff_takes_ever_shorter_pieces(spark):
     assert predictor.predict("漢字") == (predictor.model.languages[int(predictor.model.shares.argmax())], pytest.approx(predictor.model.shares.max()))
 
 
+def test_predictions_are_those_of_plain_counting(spark):
+    """Counts, back-off and scores again by loops, on all documents of the small table; rare words of a language with few texts are learnt too."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").where("doc_id % 3 = 0")
+    docs = docs.union(spark.createDataFrame([(10**6 + i, f"selten{chr(97 + i)} wort", "xx") for i in range(9)], docs.schema))
+    model = lang_id.fit(docs)
+    rows = docs.collect()
+    words, counts = re.compile(r"[^\W\d_]+"), defaultdict(Counter)
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 5 and r.lang is not None:
+            for w in words.findall((r.text or "").lower()):
+                counts[r.lang, 0][w] += 1
+                for k in range(1, 6):
+                    counts[r.lang, k].update(f"^{w}$"[i : i + k] for i in range(len(w) + 3 - k))
+    languages = sorted({lang for lang, _ in counts})
+    total = {key: sum(c.values()) for key, c in counts.items()}
+    share = max(1, len(languages) / 4)
+    known = {key: {p: n for p, n in c.items() if n >= total[key] * share * (1e-5 if key[1] else 2e-5)} for key, c in counts.items()}
+    log = lambda lang, k, piece: math.log((known[lang, k].get(piece, 0) + 0.5) / (total[lang, k] + 500))
+
+    def value(w, lang):
+        if any(w in known[x, 0] for x in languages):
+            return log(lang, 0, w)
+        for k in range(5, 0, -1):
+            if pieces := [p for p in (f"^{w}$"[i : i + k] for i in range(len(w) + 3 - k)) if any(p in known[x, k] for x in languages)]:
+                return sum(log(lang, k, p) for p in pieces) / len(pieces)
+        return 0.0
+
+    got = {r.doc_id: r for r in lang_id.predict(docs, model).collect()}
+    assert "xx" in languages and got[10**6].lang_pred == "xx"
+    for r in rows[::7]:
+        found = words.findall((r.text or "").lower())
+        if not found:
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        mean = {x: sum(value(w, x) for w in found) / len(found) * min(len(found), 12) for x in languages}
+        best = max(mean.values())
+        assert mean[got[r.doc_id].lang_pred] == pytest.approx(best, abs=1e-3)
+        assert got[r.doc_id].score == pytest.approx(1 / sum(math.exp(v - best) for v in mean.values()), abs=1e-3)
+
+
 def test_toxicity_held_out(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
     rows = [r for r in queries.queries()["op3_toxicity"](spark, "/root/testdata/sf0.1").collect() if r.held_out and r.doc_id in labels]
