@@ -72,16 +72,24 @@ def test_rotation(spark, monkeypatch):
     monkeypatch.setattr(chat_format, "CROWD", 8)
     turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", None), (1, 3, "ann", "😀 ok"), (2, None, None, "?"), (2, 5, "ann", "x"), (2, 5, "ann", "x"), (3, 0, "system", "alone"), (None, 1, "bob", "lost")]
     turns += [(4, 7, "p", f"t{i}") for i in range(50)] + [(5, t, "ab"[t % 2], f"n{t}") for t in range(600)]
+    turns += [(6, 0, "system", "rules")] + [(6, t, "ab"[t % 2], f"n{t}") for t in range(1, 700, 61)]
     frame = spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn long, role string, text string, part int")
     got = defaultdict(list)
     for r in chat_format.rotate(frame).collect():
         got[r.conv_id, r.perspective].append(r)
+    assert chat_format.rotate(frame.where("false")).count() == 0
+    for r in got.pop((6, "a")) + got.pop((6, "b")):
+        low = 256 * int(r.part.split(".")[0])
+        own = [(t, s, x) for _, t, s, x in turns if _ == 6 and low <= t < low + 256]
+        want = next((text, spans) for me, text, spans in rendered(([(0, "system", "rules")] if low else []) + own) if me == r.perspective)
+        assert (r.text, [tuple(s) for s in r.spans], r.n_turns) == (*want, len(own))
     assert set(got) == {(1, "ann"), (1, "bob"), (2, "unknown"), (2, "ann"), (None, "bob"), (4, "p"), (5, "a"), (5, "b")}
     for me, text, spans in rendered([(1, "system", "be kind"), (2, "ann", "hi < |end|>"), (3, "bob", ""), (4, "ann", "😀 ok")]):
         r = got[1, me][0]
         assert (r.text, [tuple(s) for s in r.spans]) == (text, spans) and all(r.text[a:b].endswith("<|end|>\n") for a, b in r.spans)
     assert sum(r.n_turns for r in got[2, "ann"]) == 2
-    assert sum(r.n_turns for r in got[4, "p"]) == 50 and max(r.n_turns for r in got[4, "p"]) < 30
+    assert sum(r.n_turns for r in got[4, "p"]) == 50 and max(r.n_turns for r in got[4, "p"]) < 20
+    assert sorted(x for r in got[4, "p"] for x in r.text.replace("<|assistant|>\n", "").split("<|end|>\n") if x) == sorted(f"t{i}" for i in range(50))
     parts = sorted(got[5, "a"], key=lambda r: [int(x) for x in r.part.split(".")])
     assert "".join(r.text for r in parts) == next(rendered([(t, "ab"[t % 2], f"n{t}") for t in range(600)]))[1]
 
