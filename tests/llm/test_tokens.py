@@ -61,7 +61,7 @@ def test_long_pieces_contract_in_the_same_order(library):
     rnd = np.random.default_rng(0)
     for n in (401, 2000, 9000):
         text = "".join(rnd.choice(list("etaoinshrdlu"), n))
-        assert np.frombuffer(codec.encode([text])[0][0], "<u4").tolist() == library.encode_ordinary(text)
+        assert codec.encode([text, "a"])[0].tolist() == library.encode_ordinary(text)
 
 
 def test_unknown_id_is_an_error():
@@ -71,6 +71,17 @@ def test_unknown_id_is_an_error():
         codec.decode_lists([np.array([10**6])])
 
 
+def test_decoding_whole_lists_in_runs(library, monkeypatch):
+    """Decoded bytes come from the document's own list of ids, in runs where it is long."""
+    monkeypatch.setattr(byte_bpe, "IDS", 7)
+    with open(RANKS, "rb") as f:
+        codec = byte_bpe.Codec(f.read(), P.PATTERN)
+    texts = ["", "one", "the quick brown fox jumps over the lazy dog " * 3, "é😀" * 9]
+    lists = [np.array(library.encode_ordinary(t), np.int32) for t in texts]
+    assert codec.decode_lists(lists) == [t.encode() for t in texts]
+    assert codec.decode_lists([lists[2][::-1]])[0] != texts[2].encode()
+
+
 def test_empty_tables(empty):
     assert token_counts.count_tokens(empty, MODEL).count() == 0
     assert byte_bpe.encode(empty, RANKS, P.PATTERN).count() == 0

@@ -2,12 +2,13 @@
 
 A text is cut by the vocabulary's pattern; the distinct pieces of a block become token-position rows that join
 the merge table, and each step of a recursive query contracts every piece's leftmost pair of least rank, until
-no piece has a pair left. Decoding joins ids to their bytes and concatenates them by an ordered aggregation.
+no piece has a pair left; a piece that is a token itself needs no contraction. Decoding joins the ids of each whole text to their
+bytes and concatenates them by an ordered aggregation.
 
 Nulls and empty texts have no ids; rows are encoded one by one, so ties and repeated rows get equal results;
 only id and text are read, so clashing columns do no harm; an empty table gives an empty table. Texts are encoded
-whole: pieces of more than ``LONG`` bytes, for which one contraction a step would take too many steps, go through
-a heap that contracts in the same order.
+whole: pieces of more than ``LONG`` bytes, for which one contraction a step would take too many steps (the rows of all steps
+grow with the square of a piece's length), go through a heap that contracts in the same order.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from .. import ship
 from .shared import TwoGenerationCache, slices
 
-#: Characters whose pieces are held at a time; pieces in one query; pieces kept between blocks; bytes of a long piece.
-SLICE, QUERY, KEPT, LONG = 3_000_000, 40_000, 200_000, 400
+#: Characters whose pieces are held at a time; rows of all steps of a query, and ids in one query, at most; pieces kept between blocks; bytes of a long piece.
+SLICE, STEPS, IDS, KEPT, LONG = 3_000_000, 1 << 24, 400_000, 200_000, 4000
 
 #: Unicode White_Space in the Basic Multilingual Plane, as text for a character class.
 SPACES = "\t-\r \x85\xa0  -     　"
@@ -89,6 +90,7 @@ class Codec:
         self._load("merges", pa.table({"l": left, "r": right, "merged": merged}))
         self._load("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}))
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.ids = np.sort(np.fromiter(ranks.values(), np.int64))
         self.cache = TwoGenerationCache(KEPT)
 
     def _load(self, name: str, rows: pa.Table) -> None:
@@ -112,8 +114,10 @@ class Codec:
         """The ids of each piece."""
         out: list[np.ndarray | None] = [np.array([r], np.int32) if (r := self.ranks.get(p)) is not None else self._by_heap(p) if len(p) > LONG else None for p in pieces]
         rest = [i for i, ids in enumerate(out) if ids is None]
-        for k in range(0, len(rest), QUERY):
-            part = rest[k : k + QUERY]
+        steps = np.cumsum([len(pieces[i]) ** 2 for i in rest])  # at most so many rows in all steps
+        while rest:
+            n = max(1, int(np.searchsorted(steps, STEPS, side="right")))
+            part, rest, steps = rest[:n], rest[n:], steps[n:] - steps[n - 1]
             sizes = np.array([len(pieces[i]) for i in part])
             ends = np.cumsum(sizes)
             start = pa.table({
@@ -158,34 +162,28 @@ class Codec:
         return np.array(out, np.int32)
 
     def decode_lists(self, lists: list[np.ndarray]) -> list[bytes]:
-        """The bytes of each list of ids; ids that the vocabulary lacks raise an error."""
-        out: list[bytes] = [b""] * len(lists)
-        for k in range(0, len(lists), QUERY):
-            part = lists[k : k + QUERY]
-            sizes = np.array([len(x) for x in part])
-            if not sizes.sum():
-                continue
-            ends = np.cumsum(sizes)
-            flat = np.concatenate(part)
-            if flat.min() < 0 or not np.isin(flat, np.fromiter(self.ranks.values(), np.int64)).all():
+        """The bytes of each list of ids; ids that the vocabulary lacks raise an error. Lists of more than ``IDS`` ids are decoded in runs."""
+        out: list[list[bytes]] = [[] for _ in lists]
+        runs = [(i, ids[k : k + IDS]) for i, ids in enumerate(lists) for k in range(0, len(ids), IDS)]
+        while runs:
+            sizes = np.array([len(x) for _, x in runs])
+            n = max(1, int(np.searchsorted(np.cumsum(sizes), IDS, side="right")))
+            part, runs, sizes = runs[:n], runs[n:], sizes[:n]
+            ends, flat = np.cumsum(sizes), np.concatenate([x for _, x in part])
+            if not (self.ids[np.minimum(np.searchsorted(self.ids, flat), len(self.ids) - 1)] == flat).all():
                 raise ValueError("an id is not in the vocabulary")
-            rows = self._query(DECODE, ids=pa.table({"piece": np.repeat(np.arange(len(part), dtype=np.int32), sizes), "pos": np.arange(ends[-1]) - np.repeat(ends - sizes, sizes), "id": flat}))
-            for i, h in zip(rows.column("piece").to_pylist(), rows.column("hex").to_pylist(), strict=True):
-                out[k + i] = bytes.fromhex(h)
-        return out
+            rows = self._query(DECODE, ids=pa.table({"piece": np.repeat(np.arange(n, dtype=np.int32), sizes), "pos": np.arange(ends[-1]) - np.repeat(ends - sizes, sizes), "id": flat}))
+            for k, h in zip(rows.column("piece").to_pylist(), rows.column("hex").to_pylist(), strict=True):
+                out[part[k][0]].append(bytes.fromhex(h))
+        return [b"".join(x) for x in out]
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids as little-endian unsigned 32-bit integers, and the bytes that these ids decode to, of each text."""
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
         cut = [self.split(t) for t in texts]
         new = list(self.cache.missing(set().union(*cut)))
-        ids = self.encode_pieces([p.encode() for p in new])
         known = self.cache.new
-        known.update((p, (i.astype("<u4").tobytes(), d)) for p, i, d in zip(new, ids, self.decode_lists(ids), strict=True))
-        out = []
-        for pieces in cut:
-            both = list(map(known.__getitem__, pieces))
-            out.append((b"".join([x for x, _ in both]), b"".join([x for _, x in both])))
-        return out
+        known.update((p, i.astype("<u4").tobytes()) for p, i in zip(new, self.encode_pieces([p.encode() for p in new]), strict=True))
+        return [np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4").astype(np.int32) for pieces in cut]
 
 
 def _codec(rank_file: bytes, pattern: str) -> Codec:
@@ -212,11 +210,11 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, *, id_col: str = "doc_
     def block(codec: Codec, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = 0
         for part in slices((x.as_py() or "" for x in batch.column(1)), SLICE):
-            done = codec.encode(part)
-            columns = [batch.column(0).slice(at, len(part)), pa.array([len(i) // 4 for i, _ in done], pa.int64())]
+            ids = codec.encode(part)
+            columns = [batch.column(0).slice(at, len(part)), pa.array([len(i) for i in ids], pa.int64())]
             if with_ids:
-                columns.append(pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i, _ in done], pa.list_(pa.int32())))
-            columns += [pa.array([hashlib.sha256(x[k]).hexdigest() for x in done], pa.string()) for k in (0, 1)]
+                columns.append(pa.array(ids, pa.list_(pa.int32())))
+            columns += [pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string()) for xs in ([i.astype("<u4").tobytes() for i in ids], codec.decode_lists(ids))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
             at += len(part)
 
@@ -231,7 +229,7 @@ def decode(encoded: DataFrame, rank_path: str, pattern: str, *, id_col: str = "d
     def block(codec: Codec, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)
-            texts = codec.decode_lists([np.array(x.as_py() or [], np.int32) for x in part.column(1)])
+            texts = codec.decode_lists([np.array(x.as_py() or [], np.int64) for x in part.column(1)])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([t.decode(errors="replace") for t in texts], pa.string())], names=[id_col, "text"])
 
     return _map(encoded, rank_path, pattern, [F.col(id_col), F.col(ids_col).alias("ids")], f"{id_col} {encoded.schema[id_col].dataType.simpleString()}, text string", block)
