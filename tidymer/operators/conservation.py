@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 AMINO = "ARNDCQEGHILKMFPSTWYV"
 
 #: Background frequencies of BLOSUM62, in the order of AMINO.
-BACKGROUND = [0.078, 0.051, 0.041, 0.052, 0.024, 0.034, 0.059, 0.083, 0.025, 0.062, 0.092, 0.056, 0.024, 0.043, 0.043, 0.059, 0.055, 0.014, 0.034, 0.072]
+BACKGROUND = [0.078, 0.051, 0.041, 0.052, 0.024, 0.034, 0.059, 0.083, 0.025, 0.062, 0.092, 0.056, 0.024, 0.044, 0.043, 0.059, 0.055, 0.014, 0.034, 0.072]
 
 #: Groups of amino acids by property.
 PROPERTIES = ["VLIM", "FWY", "ST", "NQ", "HKR", "DE", "AG", "P", "C"]
@@ -98,22 +98,24 @@ def score_z(scores: DataFrame) -> DataFrame:
     return scores.join(stats).select("pos", F.when((F.col("score") > -999) & (F.col("d") > 0), (F.col("score") - F.col("m")) / F.col("d")).otherwise(F.lit(-1000.0)).alias("score"))
 
 
-def pssm(homologs: DataFrame, identities: DataFrame, cut: float = 0.8, prior: float = 1.0) -> DataFrame:
-    """pos, aa, p: column frequencies weighted by 1 / (1 + homologs at least ``cut`` identical), with a prior spread evenly over the letters."""
+def pssm(homologs: DataFrame, identities: DataFrame, cut: float = 0.8) -> DataFrame:
+    """pos, aa, p: column frequencies weighted by 1 / (2 + other homologs at least ``cut`` identical), with a prior of the sum of all weights over the number of letters.
+
+    The weighted counts of a column are divided by the sum of all weights before the prior is added, and columns are normalised. Gaps count in no letter."""
     both = identities.select("a", "b", "value").union(identities.select("b", "a", "value"))
     close = both.where(F.col("value") >= cut).groupBy(F.col("a").alias("seq_id")).agg(F.count("*").alias("n"))
-    weight = homologs.select("seq_id").distinct().join(close, "seq_id", "left").select("seq_id", (1.0 / (1 + F.coalesce("n", F.lit(0)))).alias("weight"))
+    weight = homologs.select("seq_id").distinct().join(close, "seq_id", "left").select("seq_id", (1.0 / (2 + F.coalesce("n", F.lit(0)))).alias("weight"))
+    all_weights = weight.agg(F.sum("weight").alias("m"))
     seen = homologs.where("aa <> '-'").join(weight, "seq_id").groupBy("pos", "aa").agg(F.sum("weight").alias("s"))
-    grid = seen.select("pos").distinct().withColumn("aa", F.explode(F.array(*map(F.lit, AMINO))))
-    counted = grid.join(seen, ["pos", "aa"], "left").withColumn("c", F.coalesce("s", F.lit(0.0)) + prior / len(AMINO))
+    grid = homologs.select("pos").distinct().withColumn("aa", F.explode(F.array(*map(F.lit, AMINO)))).crossJoin(F.broadcast(all_weights))  # one row
+    counted = grid.join(seen, ["pos", "aa"], "left").withColumn("c", F.coalesce("s", F.lit(0.0)) / F.col("m") + F.col("m") / len(AMINO))
     return counted.select("pos", "aa", (F.col("c") / F.sum("c").over(Window.partitionBy("pos"))).alias("p"))
 
 
 def pssm_sigmoid(p: DataFrame) -> DataFrame:
-    return p.withColumn("p", 1 / (1 + F.exp(-F.log2(F.col("p") * len(AMINO)))))
+    return p.withColumn("p", 1 / (1 + F.exp(-F.col("p"))))
 
 
 def pssm_information(p: DataFrame) -> DataFrame:
-    """Frequencies times the column's information."""
-    info = float(np.log2(len(AMINO))) + F.sum(F.when(F.col("p") > 0, F.col("p") * F.log2("p")).otherwise(0.0)).over(Window.partitionBy("pos"))
-    return p.withColumn("p", F.col("p") * info)
+    """p ln(p x number of letters), at least 0."""
+    return p.withColumn("p", F.greatest(F.when(F.col("p") > 0, F.col("p") * F.log(F.col("p") * len(AMINO))).otherwise(0.0), F.lit(0.0)))

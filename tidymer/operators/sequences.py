@@ -16,6 +16,26 @@ def windows_of(seq: Column | str, k: Column | int) -> Column:
     return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(s, i, k))).otherwise(F.array().cast("array<string>"))
 
 
+#: Letters of a sequence that are cut into windows together, and of the longer pieces that sequences are cut into first.
+CHUNK, PIECE = 256, 1 << 16
+
+
+def chunks(seqs: DataFrame, k: int) -> DataFrame:
+    """Sequences as pieces of ``CHUNK`` letters, each with the k - 1 letters after it: every window of k letters begins in exactly one of them.
+
+    Letters are addressed from the beginning of a string, so that windows of whole long texts would take quadratic time."""
+
+    def cut(df: DataFrame, size: int) -> DataFrame:
+        last = F.floor(F.greatest(F.length("seq") - k, F.lit(0)) / size).cast("int")
+        return df.withColumn("seq", F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring("seq", i * size + 1, F.lit(size + k - 1)))))
+
+    return cut(cut(seqs, PIECE), CHUNK)
+
+
+def _windows(seqs: DataFrame, k: int) -> DataFrame:
+    return chunks(seqs, k).select("entity", F.explode(windows_of("seq", k)).alias("feature"))
+
+
 def _counted(rows: DataFrame, pieces: Column) -> DataFrame:
     return rows.select("entity", F.explode(pieces).alias("feature")).groupBy("entity", "feature").agg(F.count("*").alias("value"))
 
@@ -23,7 +43,7 @@ def _counted(rows: DataFrame, pieces: Column) -> DataFrame:
 def kmers(seqs: DataFrame, k: int, start: int | None = None) -> DataFrame:
     """Counts of all k-mers (of lengths ``start``..k) over all parts of an entity; no k-mer bridges two parts."""
     lengths = range(k if start is None else start, k + 1)
-    return _counted(seqs, F.flatten(F.array(*(windows_of("seq", n) for n in lengths))))
+    return reduce(DataFrame.unionByName, (_windows(seqs, n) for n in lengths)).groupBy("entity", "feature").agg(F.count("*").alias("value"))
 
 
 def _masked(seqs: DataFrame, k: int, masks: list[tuple[int, ...]], fill: str) -> DataFrame:
@@ -35,7 +55,7 @@ def _masked(seqs: DataFrame, k: int, masks: list[tuple[int, ...]], fill: str) ->
         return F.array_join(F.array(*pieces), fill)
 
     pieces = F.flatten(F.transform(windows_of("seq", k), lambda w: F.array(*(apply(w, m) for m in masks))))
-    return _counted(seqs, pieces)
+    return _counted(chunks(seqs, k), pieces)
 
 
 def gapped_kmers(seqs: DataFrame, k: int, gap: int, centre: int | None = None) -> DataFrame:
@@ -182,35 +202,36 @@ def one_hot(seqs: DataFrame) -> DataFrame:
     return seqs.select("entity", "part", F.posexplode(F.split("seq", "")).alias("pos", "aa")).where("aa <> ''").withColumn("value", F.lit(1))
 
 
-#: Hydropathy, volume, charge at pH 7, polarity, helix, sheet and turn propensity, aromatic, small (public amino-acid scales).
+#: Hydrophobicity, hydrophilicity, hydrogen bonds, side-chain volume, polarity, polarizability, solvent-accessible surface, net charge index, mass.
 PHYSCHEM = """
-A 1.8 88.6 0 0 1.42 0.83 0.66 0 1
-R -4.5 173.4 1 1 0.98 0.93 0.95 0 0
-N -3.5 114.1 0 1 0.67 0.89 1.56 0 1
-D -3.5 111.1 -1 1 1.01 0.54 1.46 0 1
-C 2.5 108.5 0 0 0.70 1.19 1.19 0 1
-Q -3.5 143.8 0 1 1.11 1.10 0.98 0 0
-E -3.5 138.4 -1 1 1.51 0.37 0.74 0 0
-G -0.4 60.1 0 0 0.57 0.75 1.56 0 1
-H -3.2 153.2 0 1 1.00 0.87 0.95 1 0
-I 4.5 166.7 0 0 1.08 1.60 0.47 0 0
-L 3.8 166.7 0 0 1.21 1.30 0.59 0 0
-K -3.9 168.6 1 1 1.16 0.74 1.01 0 0
-M 1.9 162.9 0 0 1.45 1.05 0.60 0 0
-F 2.8 189.9 0 0 1.13 1.38 0.60 1 0
-P -1.6 112.7 0 0 0.57 0.55 1.52 0 1
-S -0.8 89.0 0 1 0.77 0.75 1.43 0 1
-T -0.7 116.1 0 1 0.83 1.19 0.96 0 1
-W -0.9 227.8 0 0 1.08 1.37 0.96 1 0
-Y -1.3 193.6 0 1 0.69 1.47 1.14 1 0
-V 4.2 140.0 0 0 1.06 1.70 0.50 0 1
+A 0.62 -0.5 2 27.5 8.1 0.046 1.181 0.007187 71.0788
+C 0.29 -1 2 44.6 5.5 0.128 1.461 -0.03661 103.1388
+D -0.9 3 4 40 13 0.105 1.587 -0.02382 115.0886
+E -0.74 3 4 62 12.3 0.151 1.862 0.006802 129.1155
+F 1.19 -2.5 2 115.5 5.2 0.29 2.228 0.037552 147.1766
+G 0.48 0 2 0 9 0 0.881 0.179052 57.0519
+H -0.4 -0.5 4 79 10.4 0.23 2.025 -0.01069 137.1411
+I 1.38 -1.8 2 93.5 5.2 0.186 1.81 0.021631 113.1594
+K -1.5 3 2 100 11.3 0.219 2.258 0.017708 128.1741
+L 1.06 -1.8 2 93.5 4.9 0.186 1.931 0.051672 113.1594
+M 0.64 -1.3 2 94.1 5.7 0.221 2.034 0.002683 131.1986
+N -0.78 2 4 58.7 11.6 0.134 1.655 0.005392 114.1039
+P 0.12 0 2 41.9 8 0.131 1.468 0.239531 97.1167
+Q -0.85 0.2 4 80.7 10.5 0.18 1.932 0.049211 128.1307
+R -2.53 3 4 105 10.5 0.18 1.932 0.049211 156.1875
+S -0.18 0.3 4 29.3 9.2 0.062 1.298 0.004627 87.0782
+T -0.05 -0.4 4 51.3 8.6 0.108 1.525 0.003352 101.1051
+V 1.08 -1.5 2 71.5 5.9 0.14 1.645 0.057004 99.1326
+W 0.81 -3.4 3 145.5 5.4 0.409 2.663 0.037977 186.2132
+Y 0.26 -2.3 3 117.3 6.2 0.298 2.368 0.023599 163.1760
 """
 
 
 def physchem(residues: DataFrame) -> DataFrame:
-    """Residues with their nine properties as an array; letters without a row get null."""
+    """Residues with their nine properties as an array; letters without a row get zeros."""
     rows = [(f[0], [float(x) for x in f[1:]]) for f in map(str.split, PHYSCHEM.strip().splitlines())]
-    return residues.join(F.broadcast(residues.sparkSession.createDataFrame(rows, "aa string, properties array<double>")), "aa", "left")
+    known = residues.join(F.broadcast(residues.sparkSession.createDataFrame(rows, "aa string, properties array<double>")), "aa", "left")  # 20 rows
+    return known.withColumn("properties", F.coalesce("properties", F.array_repeat(F.lit(0.0), 9)))
 
 
 def sliding_sum(residues: DataFrame, reach: int) -> DataFrame:

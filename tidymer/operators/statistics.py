@@ -62,10 +62,9 @@ def z_of_z(observed: DataFrame, permuted: DataFrame, by: list[str], value: str)
 
 def bh_fdr(df: DataFrame, by: list[str], p: str, tie: str, alpha: float | None = None) -> DataFrame:
     """Benjamini-Hochberg adjusted p within groups, and ``reject`` where alpha is given."""
-    up = Window.partitionBy(*by).orderBy(p, tie)
+    up, down = Window.partitionBy(*by).orderBy(p, tie), Window.partitionBy(*by).orderBy(F.desc(p), F.desc(tie))
     ranked = df.withColumn("raw", F.col(p) * F.count("*").over(Window.partitionBy(*by)) / F.row_number().over(up))
-    later = up.rowsBetween(0, Window.unboundedFollowing)
-    out = ranked.withColumn("p_adjusted", F.least(F.min("raw").over(later), F.lit(1.0))).drop("raw")
+    out = ranked.withColumn("p_adjusted", F.least(F.min("raw").over(down.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))).drop("raw")  # a growing frame is linear
     return out if alpha is None else out.withColumn("reject", F.col("p_adjusted") < alpha)
 
 
