@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, written
+from .shared import WORD, drop_written, written
 
 
 def size_of(text_col: str) -> Column:
@@ -61,6 +61,8 @@ def schedule(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     timed = written(done.select("id", "source", "size", "source_size", "target", finish.alias("finish")), "times")
 
     cut = _cut(timed.select("size", F.explode("finish").alias("at")), timed.sparkSession, sources.agg(F.sum("source_size")).first()[0], share)
+    drop_written(slim)
+    drop_written(sources)
     taken = F.coalesce(F.size(F.filter("finish", lambda t: t <= F.lit(cut))), F.lit(0)) if cut is not None else F.lit(0)
     rows = timed.withColumn("taken", F.when(F.col("size") > 0, F.col("size") * taken).otherwise(F.lit(0)).cast("long"))
     return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken")
@@ -68,8 +70,13 @@ def schedule(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def _cut(events: DataFrame, spark, total: int | None, share: float) -> float | None:
     """The last finish time up to which the words of all events stay within the budget."""
-    budget = share * (total or 0)
     ordered = written(events.repartitionByRange("at").sortWithinPartitions("at").withColumn("part", F.spark_partition_id()), "order")
+    last = _crossing(ordered, share * (total or 0))
+    drop_written(ordered)
+    return last
+
+
+def _crossing(ordered: DataFrame, budget: float) -> float | None:
     sums = ordered.groupBy("part").agg(F.sum("size").alias("words"), F.max("at").alias("last"))
     parts = sums.withColumn("upto", F.sum("words").over(Window.orderBy("part"))).where(F.col("upto") > budget).orderBy("part").limit(1)
     crossed = parts.select("part", (F.col("upto") - F.col("words")).alias("before")).first()
