@@ -37,7 +37,7 @@ from .shingles import fingerprint, hashes
 #: Cells of the table of counts and blocks in which they travel; a cell so many times the mean is crowded, and its shingles are salted.
 CELLS, BLOCK, CROWDED, HOT, SALTS = 1 << 20, 1 << 14, 8, 4096, 64
 #: Nodes of a bucket that are compared in one place; other nodes that a node is held against first; rows, words of sketches, and sets, that a task holds at a time; bits of a sketch at most.
-CELL, FEW, ROWS, WORDS, SETS, SKETCH = 4096, 8, 1 << 17, 1 << 22, 256, 1 << 15
+CELL, FEW, ROWS, WORDS, SETS, SKETCH = 4096, 8, 1 << 15, 1 << 19, 256, 1 << 15
 SLACK = 1e-9
 
 

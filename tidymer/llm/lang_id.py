@@ -32,8 +32,8 @@ from .. import ship
 from .shared import drop_written, held_out, written
 
 MAX_DOCS, MIN_WORD, MIN_GRAM, LANGUAGES, LONGEST = 4000, 2e-5, 1e-5, 4, 5
-#: Words that a text is worth at most; added to counts; words taken together; numbers kept for unseen words.
-EVIDENCE, SMOOTH, CHUNK, KEPT = 12.0, 0.5, 50_000, 1_000_000
+#: Words that a text is worth at most; added to counts; words taken together; numbers kept for unseen words; words counted before they are passed on.
+EVIDENCE, SMOOTH, CHUNK, KEPT, HELD = 12.0, 0.5, 50_000, 1_000_000, 100_000
 WORDS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -143,12 +143,15 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     sample = usable.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < least * 1_000_000).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: dict[str, Counter] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found.setdefault(lang, Counter()).update(WORDS.findall((text.as_py() or "").lower()))
-            for lang, c in found.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "piece", "n"])
+        found: dict[str, Counter] = {}
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    found.setdefault(lang, Counter()).update(WORDS.findall((text.as_py() or "").lower()))
+            if batch is None or sum(map(len, found.values())) > HELD:
+                for lang, c in found.items():
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "piece", "n"])
+                found = {}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
