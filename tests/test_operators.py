@@ -204,3 +204,80 @@ def test_folds_exclude_similar(spark):
     train = {k: {r.entity for r in rows if r.role == "train" and r.fold == k} for k in test}
     assert sorted(test.values()) == list(range(6))
     assert all(train[k] == set(range(6)) - {e} - {0: {1}, 1: {0}, 2: {3}, 3: {2}}.get(e, set()) for k, e in test.items())
+
+
+def test_leave_one_out_equals_models_fitted_without_the_entity(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.standard_normal((12, 6)), rng.standard_normal((12, 9))
+    sequence, response = (spark.createDataFrame([(i, j, float(m[i, j])) for i in range(12) for j in range(m.shape[1])], "entity long, feature long, value double") for m in (x, y))
+
+    def predicted(how, **options):
+        out = np.zeros_like(y)
+        for r in folds.leave_one_out(sequence, response, how, **options).collect():
+            out[r.entity, r.feature] = r.value
+        return out
+
+    ridge, joint, nearest = np.zeros_like(y), np.zeros_like(y), np.zeros_like(y)
+    for i in range(12):
+        rest = np.delete(np.arange(12), i)
+        ridge[i] = x[i] @ np.linalg.solve(x[rest].T @ x[rest] + 0.5 * np.eye(6), x[rest].T @ y[rest])
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        nearest[i] = y[rest[(unit[rest] @ unit[i]).argmax()]]
+        u, s, v = np.linalg.svd(np.c_[x[rest], y[rest]], full_matrices=False)
+        vx, lat = v[:4, :6], u[:, :4] * s[:4]
+        row = np.linalg.lstsq(vx.T, x[i], rcond=None)[0]
+        d = 1 - lat @ row / (np.linalg.norm(lat, axis=1) * np.linalg.norm(row))
+        w = np.where(np.exp(-(d**2) / 0.04) >= 0.01, np.exp(-(d**2) / 0.04), 0)
+        w = w if w.any() else (d == d.min()).astype(float)
+        joint[i] = w @ y[rest] / w.sum()
+    assert np.allclose(predicted("ridge", alpha=0.5), ridge) and np.allclose(predicted("nearest"), nearest) and np.allclose(predicted("joint", components=4), joint)
+    scores = {r.entity: r.pearson for r in folds.evaluate(folds.leave_one_out(sequence, response, "ridge", alpha=0.5), response).collect()}
+    assert scores[3] == pytest.approx(np.corrcoef(ridge[3], y[3])[0, 1])
+
+
+def test_primal_and_dual_ridge_agree_and_components_give_the_sequence_back(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.standard_normal((10, 4)), rng.standard_normal((10, 5))
+    sequence, response = (spark.createDataFrame([(i, j, float(m[i, j])) for i in range(10) for j in range(m.shape[1])], "entity long, feature long, value double") for m in (x, y))
+    both = [{(r.feature, r.response): r.value for r in f(sequence, response, 0.3).collect()} for f in (models.ridge, models.ridge_primal)]
+    assert both[0].keys() == both[1].keys() and all(both[0][k] == pytest.approx(both[1][k]) for k in both[0])
+    back = {(r.entity, r.feature): r.value for r in models.reconstruct(sequence, response, "sequence", amount=9).collect()}
+    assert all(back[i, j] == pytest.approx(x[i, j], abs=1e-6) for i in range(10) for j in range(4))
+    few, every = (models.reconstruct(sequence, response, "response", amount=5, reach=r).collect() for r in (0.2, None))
+    assert len(few) == len(every) == 40 and {(r.entity, r.feature): round(r.value, 6) for r in few} != {(r.entity, r.feature): round(r.value, 6) for r in every}
+
+
+def test_conserved_groups_merge_along_the_tree(spark):
+    tree = spark.createDataFrame([("x", "y", 1.0), ("x", "z", 5.0), ("y", "z", 5.0)], "a string, b string, dist double")
+    members = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z"), (4, "x"), (5, "z")], "id long, species string")
+    pairs = [(1, 2, 0.9, 0.1), (2, 3, 0.9, 0.3), (1, 3, 0.2, 0.9), (3, 4, 0.9, 0.2), (1, 4, 0.9, 0.8), (2, 4, 0.9, 0.9)]
+    homologs = spark.createDataFrame(pairs, "a long, b long, value double, distance double")
+    got = {r.id: r.cluster for r in graph.conserved_groups(homologs, members, tree, 0.5, 0.4).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}  # 1, 2 merge first; then 3 and 4, as 3 lies 0.6 from both others on average
+
+
+def test_subclusters_and_cuts(spark):
+    members = spark.createDataFrame([(i, 0) for i in range(5)] + [(9, 1)], "id long, cluster long")
+    edges = spark.createDataFrame([(0, 1, 0.1), (2, 3, 0.2), (0, 2, 0.9), (0, 3, 0.9), (1, 2, 0.9), (1, 3, 0.9)], "a long, b long, distance double")
+    got = {r.id: (r.cluster, r["sub"]) for r in graph.subcluster(members, edges, "average", 0.5).collect()}
+    assert got[0] == got[1] != got[2] == got[3] and got[9] == (1, 0) and len({got[i] for i in range(5)}) == 3
+    cut = {(r.cut, r.id): r.cluster for r in graph.split_linkage(edges.withColumn("block", F.lit(0)), "block", "average", [0.15, 0.5, 1.0]).collect()}
+    assert [len({cut[c, i] for i in range(4)}) for c in (0.15, 0.5, 1.0)] == [3, 2, 1] and cut[0.15, 0] == cut[0.15, 1] == 0
+
+
+def test_losses_leave_out_other_lineages(spark):
+    distances = spark.createDataFrame([(a, b, d) for x, y, d in (("p", "q", 1.0), ("p", "r", 9.0), ("q", "r", 9.0)) for a, b in ((x, y), (y, x))] + [(s, s, 0.0) for s in "pqr"], "a string, b string, dist double")
+    members = spark.createDataFrame([(1, "p"), (1, "r"), (2, "p"), (2, "q"), (3, "r"), (4, "q"), (4, "r"), (5, "r")], "cluster long, species string")
+    ages = spark.createDataFrame([(1, 9.0), (4, 9.0), (2, 1.0), (3, 0.5), (5, 0.5)], "cluster long, age double")
+    got = {(r.age, r.gained_age): (r.gained, r.lost, r.newly_lost) for r in graph.gains_losses(members, ages, distances).collect()}
+    assert got == {(9.0, 9.0): (2, 0, 0), (1.0, 1.0): (1, 0, 0), (1.0, 9.0): (2, 0, 0), (0.5, 0.5): (2, 0, 0), (0.5, 9.0): (2, 0, 0)}
+
+
+def test_hamming_identity_of_all_pairs_of_a_brand(spark):
+    from tidymer.plans import sequences as plan
+
+    parts = [(k, "ab"[k % 2], name) for k, name in ((1, "red ring"), (3, "red rung"), (1001, "blue"), (2, "red ring"), (4, "red ring"))]
+    frame = spark.createDataFrame(parts, "p_partkey long, p_brand string, p_name string")
+    got = {(r.a, r.b): r.identity for r in plan.hamming_identity(type("T", (), {"part": frame})).collect()}
+    want = {(a, b): round(sum(x == y for x, y in zip(s, t, strict=False)) / max(len(s), len(t)), 6) for a, p, s in parts for b, q, t in parts if p == q and a < b}
+    assert got == want

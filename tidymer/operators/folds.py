@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .models import gram
+
 
 def make_folds(names: DataFrame, n: int | None, *, seed: int = 1, similar: DataFrame | None = None) -> DataFrame:
     """fold, role, entity: a seeded permutation dealt to n folds (None: one entity each); from a fold's training part go those that ``similar`` (a, b) links to its test part."""
@@ -40,3 +46,71 @@ def merge_folds(outputs: DataFrame, expected: DataFrame, least: int) -> tuple[Da
     if n < least:
         raise ValueError(f"{n} folds, {least} are needed")
     return outputs, expected.join(outputs, "fold", "left_anti")
+
+
+def leave_one_out(sequence: DataFrame, response: DataFrame, how: str, *, alpha: float = 1.0, components: int = 10, sigma: float = 0.2, least: float = 0.01) -> DataFrame:
+    """(entity, feature, value): every entity's response as predicted by a model of all others.
+
+    ``nearest`` takes the response of the entity with the largest cosine of sequence features, ``ridge`` a ridge regression without intercept, ``joint`` the
+    factorisation of both sides, from whose first ``components`` the entity's latent row is found by its sequence and decoded by the latent rows near it.
+    Every model's prediction is a weighted sum of the others' responses. The weights come from Gram matrices of at most MAX_TRAINING entities, each fold's in a task of its own.
+    """
+    names, gx = gram(sequence.join(response.select("entity").distinct(), "entity", "left_semi"))
+    gy = None
+    if how == "joint":
+        same, gy = gram(response.join(sequence.select("entity").distinct(), "entity", "left_semi"))
+        if same != names:
+            raise ValueError("sequence and response must hold the same entities")
+    inverse = np.linalg.pinv(gx + alpha * np.eye(len(names))) if how == "ridge" else None
+    spark, kind = sequence.sparkSession, sequence.schema["entity"].dataType.simpleString()
+    shared = spark.sparkContext.broadcast((names, gx, gy, inverse))
+
+    def weights(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, gx, gy, inverse = shared.value
+        for part in parts:
+            for i in part.id.tolist():
+                rest = np.delete(np.arange(len(names)), i)
+                if not len(rest):
+                    continue
+                if how == "ridge":
+                    w = -inverse[i, rest] / inverse[i, i]
+                elif how == "nearest":
+                    w = np.zeros(len(rest))
+                    w[np.round(_cosines(gx[i, i], gx[i, rest], np.diag(gx)[rest]), 9).argmax()] = 1.0
+                else:
+                    w = _local(gx, gy, i, rest, components, sigma, least)
+                at = np.flatnonzero(w)
+                yield pd.DataFrame({"entity": [names[i]] * len(at), "other": [names[rest[k]] for k in at], "w": w[at]})
+
+    table = spark.range(0, len(names), numPartitions=min(len(names), 64) or 1).mapInPandas(weights, f"entity {kind}, other {kind}, w double")
+    met = table.join(response.withColumnRenamed("entity", "other"), "other")
+    return met.groupBy("entity", "feature").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+
+
+def _cosines(own: float, products: np.ndarray, others: np.ndarray) -> np.ndarray:
+    length = np.sqrt(np.maximum(own * others, 0))
+    return np.where(length > 0, products / np.where(length > 0, length, 1), 0.0)
+
+
+def _local(gx: np.ndarray, gy: np.ndarray, i: int, rest: np.ndarray, components: int, sigma: float, least: float) -> np.ndarray:
+    """Weights of the training entities near the latent row that the sequence of entity i gives, in a factorisation of the others."""
+    inner = gx[np.ix_(rest, rest)]
+    values, u = np.linalg.eigh(inner + gy[np.ix_(rest, rest)])
+    order = np.argsort(-values)[:components]
+    order = order[values[order] > max(values.max(), 0) * 1e-12]
+    s, u = np.sqrt(values[order]), u[:, order]
+    half = u / s
+    row = np.linalg.pinv(half.T @ inner @ half) @ (half.T @ gx[rest, i])
+    latent = u * s
+    distance = 1 - _cosines(row @ row, latent @ row, (latent * latent).sum(axis=1))
+    near = np.exp(-(distance**2) / sigma**2)
+    near[near < least] = 0
+    if not near.any():
+        near[distance.argmin()] = 1.0
+    return near / near.sum()
+
+
+def evaluate(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """entity, n, pearson: how well each entity's predicted values follow its true ones."""
+    met = predicted.join(truth.withColumnRenamed("value", "true"), ["entity", "feature"])
+    return met.groupBy("entity").agg(F.count("*").alias("n"), F.corr("value", "true").alias("pearson"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -237,12 +239,25 @@ def family(clusters: DataFrame, means: DataFrame, cut: float) -> DataFrame:
     return clusters.join(best, "cluster", "left")
 
 
-def gains_losses(members: DataFrame, ages: DataFrame, clades: DataFrame) -> DataFrame:
-    """clade, age, gained, lost: clusters of an age present in a clade, and those without any member there, also ones that arose in another lineage."""
-    present = members.join(clades, "species").select("cluster", "clade").distinct()
-    everywhere = ages.join(clades.select("clade").distinct())
-    flagged = everywhere.join(present.withColumn("here", F.lit(1)), ["cluster", "clade"], "left")
-    return flagged.groupBy("clade", "age").agg(F.sum(F.coalesce("here", F.lit(0))).alias("gained"), F.sum(1 - F.coalesce("here", F.lit(0))).alias("lost"))
+def gains_losses(members: DataFrame, ages: DataFrame, distances: DataFrame) -> DataFrame:
+    """age, gained_age, gained, lost, newly_lost: at each branching point (age), for clusters of this or a greater age (gained_age), how many arose then, how many
+    have no member left among the species below the point, and how many more these are than at the next older point on the way.
+
+    A point's species are those with a member of a cluster of its age and all species (a, b, dist, both ways) within this age of one of them. Points whose species do not
+    overlap do not count for each other; so a cluster that arose in another lineage is not lost.
+    """
+    aged = members.select("cluster", "species").distinct().join(ages, "cluster")
+    own = aged.select("age", "species").distinct()
+    below = own.join(distances.select(F.col("a").alias("species"), "b", "dist"), "species").where(F.col("dist") <= F.col("age")).select("age", F.col("b").alias("species")).union(own).distinct()
+    overlap = below.join(below.select(F.col("age").alias("gained_age"), "species"), "species").where("gained_age >= age").select("age", "gained_age").distinct()
+    total = ages.groupBy(F.col("age").alias("gained_age")).agg(F.count("*").alias("gained"))
+    alive = aged.withColumnRenamed("age", "gained_age").join(below, "species").where("gained_age >= age").groupBy("age", "gained_age").agg(F.count_distinct("cluster").alias("alive"))
+    lost = overlap.join(total, "gained_age").join(alive, ["age", "gained_age"], "left").withColumn("lost", F.col("gained") - F.coalesce("alive", F.lit(0)))
+    before = overlap.where("gained_age > age").groupBy("age").agg(F.min("gained_age").alias("older"))
+    previous = lost.select(F.col("age").alias("older"), "gained_age", F.col("lost").alias("lost_before"))
+    met = lost.join(before, "age", "left").join(previous, ["older", "gained_age"], "left")
+    newly = F.when((F.col("gained_age") > F.col("age")) & (F.col("gained_age") >= F.col("older")), F.col("lost") - F.coalesce("lost_before", F.lit(0))).otherwise(0)
+    return met.select("age", "gained_age", "gained", "lost", newly.alias("newly_lost"))
 
 
 def assign_clade(members: DataFrame, clades: DataFrame) -> DataFrame:
@@ -300,3 +315,76 @@ def tree_sets(tree: DataFrame, deeper: float) -> DataFrame:
     nodes = tree.select(F.col("child").alias("id")).union(tree.select("parent")).distinct()
     comps = connected_components(nodes, tree.where(F.col("length") <= deeper).select(F.col("child").alias("a"), F.col("parent").alias("b")))
     return comps.join(tree.select(F.col("parent").alias("id")).distinct(), "id", "left_anti")
+
+
+def split_linkage(edges: DataFrame, block: str, method: str, cuts: list[float]) -> DataFrame:
+    """block, cut, id, cluster: the dendrogram of each bounded block cut at several distances; clusters are numbered by size, largest first."""
+    parts = [agglomerative(edges, block, method, cut).withColumn("cut", F.lit(cut)) for cut in cuts]
+    found = reduce(DataFrame.unionByName, parts)
+    sizes = found.groupBy(block, "cut", "cluster").agg(F.count("*").alias("size"), F.min("id").alias("first"))
+    number = F.row_number().over(Window.partitionBy(block, "cut").orderBy(F.desc("size"), "first")) - 1
+    return found.join(sizes.withColumn("number", number), [block, "cut", "cluster"]).select(block, "cut", "id", F.col("number").alias("cluster"))
+
+
+def subcluster(members: DataFrame, edges: DataFrame, method: str, cut: float) -> DataFrame:
+    """id, cluster, sub: every cluster (bounded) divided by the linkage of its inner distances; an entity without a pair is a part of its own."""
+    own, other = members.select(F.col("id").alias("a"), "cluster"), members.select(F.col("id").alias("b"), F.col("cluster").alias("other"))
+    inner = edges.join(own, "a").join(other, "b").where("cluster = other").select("cluster", "a", "b", "distance")
+    parts = agglomerative(inner.withColumnRenamed("cluster", "of"), "of", method, cut)
+    last = parts.groupBy("of").agg(F.max("cluster").alias("last"))
+    joined = members.join(parts.select("id", F.col("cluster").alias("sub")), "id", "left").join(last, F.col("cluster") == F.col("of"), "left")
+    alone = F.coalesce("last", F.lit(-1)) + F.row_number().over(Window.partitionBy("cluster", F.col("sub").isNull()).orderBy("id"))
+    return joined.select("id", "cluster", F.coalesce("sub", alone).cast("int").alias("sub"))
+
+
+#: Species that a tree may have: their distances go to every task.
+MAX_SPECIES = 2000
+
+
+def conserved_groups(homologs: DataFrame, members: DataFrame, tree: DataFrame, least: float, cut: float) -> DataFrame:
+    """id, cluster (least id): components of homologous pairs (a, b, value, distance) of at least ``least`` identity and at most ``cut`` apart, refined by average
+    linkage from the most recent branching point of the species tree (a, b, dist) to the oldest.
+
+    At each point all clusters with a member below it may merge, closest pair first, while their mean distance lies below the cut. A cluster that did not merge at
+    three points in a row is settled. A pair without a distance is beyond the cut. Components are bounded, as in ``agglomerative``.
+    """
+    rows = tree.select(F.col("a").cast("string"), F.col("b").cast("string"), F.col("dist").cast("double")).limit(MAX_SPECIES**2 + 1).collect()
+    if len(rows) > MAX_SPECIES**2:
+        raise ValueError(f"more than {MAX_SPECIES} species")
+    far = {(r.a, r.b): r.dist for r in rows} | {(r.b, r.a): r.dist for r in rows}
+    nodes = members.select("id").distinct()
+    placed = connected_components(nodes, homologs.where((F.col("value") >= least) & (F.col("distance") <= cut)).select("a", "b"))
+    species = placed.join(members.select("id", F.col("species").cast("string").alias("species")), "id")
+    own, other = placed.select(F.col("id").alias("a"), "component"), placed.select(F.col("id").alias("b"), F.col("component").alias("other"))
+    inner = homologs.join(own, "a").join(other, "b").where("component = other").select(F.col("component").alias("of"), "a", "b", "distance")
+    kind, name = members.schema["id"].dataType.simpleString(), placed.schema["component"].dataType.simpleString()
+
+    def solve(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a = a.sort_values("id")
+        ids, kinds = a.id.to_numpy(), a.species.tolist()
+        at = {x: i for i, x in enumerate(ids.tolist())}
+        d = np.full((len(ids), len(ids)), np.inf)
+        for x, y, v in b[["a", "b", "distance"]].itertuples(index=False):
+            d[at[x], at[y]] = d[at[y], at[x]] = v
+        groups, idle = {i: [i] for i in range(len(ids))}, dict.fromkeys(range(len(ids)), 1)
+        present = set(kinds)
+        widest = max((far.get((x, y), 0.0) for x in present for y in present if x != y), default=0.0)
+        clade = present | {y for (x, y), v in far.items() if x in present and v <= widest}
+        points = sorted({v for (x, y), v in far.items() if x in clade and y in clade and v > 0}) or [0.0]
+        for point in points:
+            below = {x for (x, y), v in far.items() if v == point and x in clade and y in clade} if point else present
+            able = [g for g, m in groups.items() if any(kinds[i] in below for i in m)]
+            for g in able:
+                idle[g] += 1
+            while True:
+                able = [g for g in able if g in groups and idle[g] <= 3]
+                means = [(d[np.ix_(groups[g], groups[h])].mean(), g, h) for k, g in enumerate(able) for h in able[k + 1 :]]
+                best = min(means, default=(np.inf, 0, 0))
+                if not best[0] < cut:
+                    break
+                _, g, h = best
+                groups[g] += groups.pop(h)
+                idle[g] = 2 if len({kinds[i] for i in groups[g]}) == 1 else 1
+        return pd.DataFrame([(ids[i], ids[min(m)]) for m in groups.values() for i in m], columns=["id", "cluster"])
+
+    return species.groupBy("component").cogroup(inner.groupBy("of")).applyInPandas(solve, f"id {kind}, cluster {name}")

@@ -196,6 +196,35 @@ def ridge(sequence: DataFrame, response: DataFrame, alpha: float) -> DataFrame:
     return sequence.withColumnRenamed("entity", "other").join(dual, "other").groupBy("feature", "response").agg(F.sum(F.col("value") * F.col("c")).alias("value"))
 
 
+def ridge_primal(sequence: DataFrame, response: DataFrame, alpha: float) -> DataFrame:
+    """The coefficients of ``ridge`` in primal form, for fewer features than entities: features x features is solved, behind the same check of size. The reverse model swaps both sides."""
+    names, g = gram(sequence.select(F.col("feature").alias("entity"), F.col("entity").alias("feature"), "value"))
+    inverse = np.linalg.pinv(g + alpha * np.eye(len(names)))
+    kind = sequence.schema["feature"].dataType.simpleString()
+    table = pd.DataFrame({"part": np.repeat(np.array(names, object), len(names)), "feature": names * len(names), "q": inverse.reshape(-1)})
+    weights = sequence.sparkSession.createDataFrame(table, f"part {kind}, feature {kind}, q double")
+    right = sequence.join(response.select("entity", F.col("feature").alias("response"), F.col("value").alias("y")), "entity").groupBy(F.col("feature").alias("part"), "response").agg(F.sum(F.col("value") * F.col("y")).alias("r"))
+    return right.join(weights, "part").groupBy("feature", "response").agg(F.sum(F.col("r") * F.col("q")).alias("value"))
+
+
+def reconstruct(sequence: DataFrame, response: DataFrame, source: str = "response", *, amount: int = 10, reach: float | None = None) -> DataFrame:
+    """(entity, feature, value): the sequence side as the joint factorisation gives it back from the ``response`` or the ``sequence`` of an entity.
+
+    With ``reach`` only the components that matter most for a response are used, as many as its correlation with what they give back needs to reach it (all, if none does).
+    """
+    _, vx, vy = joint_svd(sequence, response, amount=amount)
+    lat = latent(sequence, vx) if source == "sequence" else latent(response, vy)
+    if reach is not None:
+        weight = lat.join(vy.groupBy("component").agg(F.sum(F.col("value") * F.col("value")).alias("size")), "component")
+        order = Window.partitionBy("entity").orderBy(F.desc(F.col("value") * F.col("value") * F.col("size")), "component")
+        placed = weight.withColumn("place", F.row_number().over(order)).select("entity", "component", "place", "value")
+        given = placed.join(vy.withColumnRenamed("value", "v"), "component").select("entity", "feature", "place", (F.col("value") * F.col("v")).alias("part"))
+        running = given.withColumn("back", F.sum("part").over(Window.partitionBy("entity", "feature").orderBy("place")))
+        enough = running.join(response, ["entity", "feature"]).groupBy("entity", "place").agg(F.corr("back", "value").alias("r")).where(F.col("r") >= reach).groupBy("entity").agg(F.min("place").alias("last"))
+        lat = placed.join(enough, "entity", "left").where(F.col("last").isNull() | (F.col("place") <= F.col("last"))).select("entity", "component", "value")
+    return decode_global(lat, vx)
+
+
 def apply_linear(sequence: DataFrame, coefficients: DataFrame) -> DataFrame:
     met = sequence.join(coefficients.withColumnRenamed("value", "c"), "feature")
     return met.groupBy("entity", F.col("response").alias("feature")).agg(F.sum(F.col("value") * F.col("c")).alias("value"))

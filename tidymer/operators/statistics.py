@@ -46,6 +46,14 @@ def mann_whitney(df: DataFrame, by: list[str], value: str, marked: str) -> DataF
     return sums.where("n1 > 0 AND n2 > 0").withColumns({"u": u, "z": F.round(z, 3)}).withColumn("p", normal_tail(F.abs("z"))).drop("r1")
 
 
+def condition_change(df: DataFrame, by: list[str], value: str, marked: str, alpha: float = 0.075) -> DataFrame:
+    """Change between two groups of samples: z of Mann-Whitney (0 where all values are equal), and whether its p lies below ``alpha``."""
+    varied = F.col("spread") > 0
+    spread = df.groupBy(*by).agg((F.max(value) - F.min(value)).alias("spread"))
+    tested = mann_whitney(df, by, value, marked).join(spread, by)
+    return tested.select(*by, F.when(varied, F.col("z")).otherwise(0.0).alias("z"), (varied & (F.col("p") < alpha)).alias("changed"))
+
+
 def two_sample_z(df: DataFrame, by: list[str], value: str, marked: str) -> DataFrame:
     m, v = F.col(marked), F.col(value)
     parts = df.groupBy(*by).agg(*(f(F.when(c, v)).alias(f"{k}{i}") for i, c in ((1, m), (2, ~m)) for k, f in (("m", F.avg), ("s", F.stddev_pop), ("n", F.count))))
@@ -228,6 +236,14 @@ def cut_at_value(df: DataFrame, x: str, y: str, level: float) -> DataFrame:
     return df.agg(F.min(F.when(F.col(y) >= level, F.col(x))).alias("cut"))
 
 
+def zero_point(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Least x where y is zero on the lines between neighbouring points. The curve is a summary of few points, sorted in one task."""
+    w = Window.orderBy(x)
+    x2, y2 = F.lead(x).over(w), F.lead(y).over(w)
+    crossed = F.when(F.col(y) == 0, F.col(x)).when(F.col(y) * y2 < 0, F.col(x) - F.col(y) * (x2 - F.col(x)) / (y2 - F.col(y)))
+    return df.select(crossed.alias("zero")).agg(F.min("zero").alias("zero"))
+
+
 def dropout_robustness(profile: DataFrame, share: float, rounds: int, seed: int = 7) -> DataFrame:
     """(round, entity, feature, value): each round keeps a seeded random part of every entity's features, dropping ``share``."""
     kept = F.pmod(F.xxhash64("round", "entity", "feature", F.lit(seed)), F.lit(1_000_000)) >= int(share * 1_000_000)
