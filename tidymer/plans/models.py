@@ -64,6 +64,7 @@ def pwm_scan(t: Tables) -> DataFrame:
     return motifs.scan(rna, pwm, "sum", 0.001)
 
 
-@query("fold_change_response")
+@query("fold_change_response", "WITH low AS (SELECT entity, feature, value - 50000 AS value FROM profile), raised AS (SELECT entity, feature, CASE WHEN value > 0 THEN value ELSE (SELECT min(value) FROM low WHERE value > 0) END AS value FROM low) SELECT entity, feature, round(log2(value / avg(value) OVER (PARTITION BY feature)), 6) AS value FROM raised", ("profile",))
 def fold_change_response(t: Tables) -> DataFrame:
-    return p.log2_fold_of_mean(p.clean(t.profile))
+    low = t.profile.withColumn("value", F.col("value") - 50000)
+    return p.log2_fold_of_mean(p.clean(low)).select("entity", "feature", F.round("value", 6).alias("value"))

@@ -72,10 +72,14 @@ def topset_fraction(t: Tables) -> DataFrame:
     return pairwise.topset(t.profile, "topfraction", 0.2)
 
 
-@query("tfilter_features")
+@query(
+    "tfilter_features",
+    "WITH r AS (SELECT l_suppkey AS entity, l_returnflag AS response, avg(l_quantity) AS value FROM lineitem GROUP BY ALL), c AS (SELECT DISTINCT l_suppkey AS entity, l_partkey % 499 AS feature FROM lineitem), f AS (SELECT DISTINCT feature FROM c), s AS (SELECT feature, response, avg(value) FILTER (has) AS m1, avg(value) FILTER (NOT has) AS m2, var_pop(value) FILTER (has) AS v1, var_pop(value) FILTER (NOT has) AS v2, count(*) FILTER (has) AS n1, count(*) FILTER (NOT has) AS n2 FROM (SELECT f.feature, response, value, c.entity IS NOT NULL AS has FROM f CROSS JOIN r LEFT JOIN c ON c.feature = f.feature AND c.entity = r.entity) x GROUP BY ALL), t AS (SELECT feature, max((m1 - m2) / sqrt(v1 / n1 + v2 / n2)) AS t FROM s WHERE n1 > 0 AND n2 > 0 AND v1 / n1 + v2 / n2 > 0 GROUP BY feature) SELECT feature, round(t, 6) AS t FROM t WHERE t >= (SELECT quantile_cont(t, 0.7) FROM t)",
+)
 def tfilter_features(t: Tables) -> DataFrame:
     responses = t.lineitem.groupBy(F.col("l_suppkey").alias("entity"), F.col("l_returnflag").alias("response")).agg(F.avg("l_quantity").alias("value"))
-    return p.tfilter_features(t.profile.where("value > 100000"), responses, 0.5)
+    carried = t.lineitem.select(F.col("l_suppkey").alias("entity"), (F.col("l_partkey") % 499).alias("feature"), F.lit(1.0).alias("value")).distinct()
+    return p.tfilter_features(carried, responses, 0.7).withColumn("t", F.round("t", 6))
 
 
 SQL_METRICS = {

@@ -122,20 +122,51 @@ def enrichment_counts(t: Tables) -> DataFrame:
     return st.enrichment_counts(t.lineitem.select(F.col("l_suppkey").alias("set"), F.col("l_partkey").alias("gene")), genes, genes)
 
 
-@query("go_enrichment")
+def choose(n: str, k: str) -> str:
+    return f"(lgamma({n} + 1.0) - lgamma({k} + 1.0) - lgamma({n} - {k} + 1.0))"
+
+
+#: Fisher's p of at least a in the table a b / c d, and the upper tail of the normal distribution (Simpson's rule), as SQL.
+FISHER = f"least(1.0::DOUBLE, list_sum(list_transform(range(a, least(a + b, a + c) + 1), lambda x: exp({choose('(a + b)', 'x')} + {choose('(c + d)', '(a + c - x)')} - {choose('(a + b + c + d)', '(a + c)')}))))"
+TAIL = "(list_sum(list_transform(range(0, 20001), lambda k: (CASE WHEN k IN (0, 20000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-power({z} + k * 0.0005::DOUBLE, 2) / 2))) * 0.0005 / 3 / sqrt(2 * pi()))"
+
+
+@query(
+    "go_enrichment",
+    f"""WITH g AS (SELECT DISTINCT p_partkey AS gene, p_type AS term FROM part), chosen AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS gene FROM lineitem WHERE l_partkey IN (SELECT gene FROM g)),
+    t AS (SELECT h.s, h.term, a, (SELECT count(*) FROM chosen c WHERE c.s = h.s) - a AS b, (SELECT count(*) FROM g WHERE g.term = h.term) - a AS c FROM (SELECT s, term, count(*) AS a FROM chosen JOIN g USING (gene) GROUP BY ALL) h),
+    f AS (SELECT *, (SELECT count(DISTINCT gene) FROM g) - a - b - c AS d FROM t), m AS (SELECT *, (a + c) / (a + b + c + d) AS m FROM f),
+    p AS (SELECT s, term, a, b, c, d, CASE WHEN a > 1 AND a / (a + b) > m + sqrt(m - 2 * m * m + m * m * m) THEN {FISHER} ELSE 1.0 END AS p FROM m),
+    raw AS (SELECT *, p * count(*) OVER (PARTITION BY s) / row_number() OVER (PARTITION BY s ORDER BY p, term) AS raw FROM p)
+    SELECT s AS "set", term, a, b, c, d, round(p, 9) AS p, round(least(1.0, min(raw) OVER (PARTITION BY s ORDER BY p DESC, term DESC ROWS UNBOUNDED PRECEDING)), 9) AS p_adjusted FROM raw""",
+)
 def go_enrichment(t: Tables) -> DataFrame:
     genes = t.part.select(F.col("p_partkey").alias("gene"), F.col("p_type").alias("term"))
-    return st.go_enrichment(t.lineitem.select(F.col("l_suppkey").alias("set"), F.col("l_partkey").alias("gene")), genes, genes)
+    found = st.go_enrichment(t.lineitem.select(F.col("l_suppkey").alias("set"), F.col("l_partkey").alias("gene")), genes, genes)
+    return found.withColumns({c: F.round(c, 9) for c in ("p", "p_adjusted")})
 
 
-@query("fisher_scan")
+@query(
+    "fisher_scan",
+    f"WITH tried AS (SELECT lang, quality = 1 AS m, sign, i / 50.0::DOUBLE AS cut, sign * (score / 10000 - 0.2::DOUBLE) >= i / 50.0::DOUBLE AS inside FROM scored, range(1, 50) r(i), (VALUES (1), (-1)) v(sign)), counts AS (SELECT lang, cut, sign, count(*) FILTER (inside AND m) AS a, count(*) FILTER (inside AND NOT m) AS b, count(*) FILTER (NOT inside AND m) AS c, count(*) FILTER (NOT inside AND NOT m) AS d FROM tried GROUP BY ALL), tested AS (SELECT *, {FISHER} AS p FROM counts) SELECT lang, cut, sign, a, b, c, d, round(p, 9) AS p FROM tested QUALIFY row_number() OVER (PARTITION BY lang ORDER BY round(p, 9), cut, sign DESC) = 1",
+    ("scored",),
+)
 def fisher_scan(t: Tables) -> DataFrame:
-    return st.fisher_scan(t.scored.withColumn("m", F.col("quality") == 1).withColumn("x", F.col("score") / 10000 - 0.2), ["lang"], "x", "m", [i / 50 for i in range(1, 50)])
-
-
-@query("delong_test")
+    return st.fisher_scan(t.scored.withColumn("m", F.col("quality") == 1).withColumn("x", F.col("score") / 10000 - 0.2), ["lang"], "x", "m", [i / 50 for i in range(1, 50)]).withColumn("p", F.round("p", 9))
+
+
+@query(
+    "delong_test",
+    f"""WITH s AS (SELECT lang, quality AS y, score AS a, -abs(score - 1500) AS b FROM scored),
+    r AS (SELECT *, {", ".join(f"rank() OVER (PARTITION BY {by} ORDER BY {v}) + (count(*) OVER (PARTITION BY {by}, {v}) - 1) / 2.0::DOUBLE AS {n}_{v}" for v in "ab" for n, by in (("every", "lang"), ("own", "lang, y")))}, count(*) FILTER (y = 1) OVER (PARTITION BY lang) AS n1, count(*) FILTER (y = 0) OVER (PARTITION BY lang) AS n0 FROM s),
+    v AS (SELECT lang, y, n1, n0, {", ".join(f"CASE WHEN y = 1 THEN (every_{v} - own_{v}) / n0 ELSE 1 - (every_{v} - own_{v}) / n1 END AS v_{v}" for v in "ab")} FROM r WHERE n1 > 1 AND n0 > 1),
+    z AS (SELECT lang, avg(v_a) FILTER (y = 1) AS auc_a, avg(v_b) FILTER (y = 1) AS auc_b, (avg(v_a) FILTER (y = 1) - avg(v_b) FILTER (y = 1)) / sqrt(var_samp(v_a - v_b) FILTER (y = 1) / max(n1) + var_samp(v_a - v_b) FILTER (y = 0) / max(n0)) AS z FROM v GROUP BY lang)
+    SELECT lang, round(auc_a, 6) AS auc_a, round(auc_b, 6) AS auc_b, round(z, 6) AS z, round(log10(2 * {TAIL.format(z="abs(z)")}), 4) AS log10_p FROM z""",
+    ("scored",),
+)
 def delong_test(t: Tables) -> DataFrame:
-    return st.delong(t.scored.withColumn("other", -F.abs(F.col("score") - 1500)), ["lang"], "score", "other", "quality")
+    found = st.delong(t.scored.withColumn("other", -F.abs(F.col("score") - 1500)), ["lang"], "score", "other", "quality")
+    return found.select("lang", *(F.round(c, 6).alias(c) for c in ("auc_a", "auc_b", "z")), F.round("log10_p", 4).alias("log10_p"))
 
 
 @query("wilcoxon_signed", "WITH d AS (SELECT l_returnflag, abs(l_discount - l_tax) AS size, l_discount - l_tax AS d FROM lineitem WHERE l_discount - l_tax <> 0), m AS " + MID.format(by="l_returnflag", v="size", t="d") + " SELECT l_returnflag, sum(CASE WHEN d > 0 THEN midrank ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN midrank ELSE 0 END) AS w_minus, count(*) AS n FROM m GROUP BY l_returnflag")

@@ -61,7 +61,7 @@ def rbf_weighted_vote(t: Tables) -> DataFrame:
 
 @query(
     "reciprocal_best",
-    f"WITH best AS (SELECT a.id AS a, b.id AS b, {COS} AS value FROM vectors a JOIN vectors b ON a.label <> b.label QUALIFY row_number() OVER (PARTITION BY a.id, b.label ORDER BY {COS} DESC, b.id) = 1) SELECT x.a, x.b, round(x.value, 6) AS value FROM best x JOIN best y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b",
+    f"WITH near AS MATERIALIZED (SELECT a.id AS a, b.id AS b, b.label, {COS} AS value FROM vectors a JOIN vectors b ON a.label <> b.label), best AS MATERIALIZED (SELECT a, b, value FROM near QUALIFY row_number() OVER (PARTITION BY a, label ORDER BY value DESC, b) = 1) SELECT x.a, x.b, round(x.value, 6) AS value FROM best x JOIN best y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b",
     ("vectors",),
 )
 def reciprocal_best(t: Tables) -> DataFrame:
@@ -71,7 +71,7 @@ def reciprocal_best(t: Tables) -> DataFrame:
     return neighbours.reciprocal_best(edges.select(F.col("id").alias("a"), "group_a", F.col("match").alias("b"), "group_b", F.col("cosine").alias("value"))).withColumn("value", F.round("value", 6))
 
 
-EDGES = f"edges AS (SELECT a.id AS a, b.id AS b FROM vectors a JOIN vectors b ON a.id < b.id WHERE {COS} >= 1 - 0.65)"
+EDGES = f"edges AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM vectors a JOIN vectors b ON a.id < b.id WHERE {COS} >= 1 - 0.65)"
 
 
 @query("triangles", f"WITH {EDGES} SELECT x.a, x.b, y.b AS c FROM edges x JOIN edges y ON x.b = y.a JOIN edges z ON z.a = x.a AND z.b = y.b", ("vectors",))
