@@ -90,7 +90,8 @@ class Codec:
         self._load("merges", pa.table({"l": left, "r": right, "merged": merged}))
         self._load("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}))
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.ids = np.sort(np.fromiter(ranks.values(), np.int64))
+        self.known = np.zeros(max(ranks.values()) + 1, bool)
+        self.known[list(ranks.values())] = True
         self.cache = TwoGenerationCache(KEPT)
 
     def _load(self, name: str, rows: pa.Table) -> None:
@@ -110,9 +111,9 @@ class Codec:
         """Matches of the pattern. Texts without supplementary characters use the same pattern with its classes spelt out, which is faster."""
         return self.pattern.findall(text) if self.astral.search(text) else self.plain.findall(text)
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """The ids of each piece."""
-        out: list[np.ndarray | None] = [np.array([r], np.int32) if (r := self.ranks.get(p)) is not None else self._by_heap(p) if len(p) > LONG else None for p in pieces]
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece as little-endian unsigned 32-bit integers."""
+        out: list[bytes | None] = [r.to_bytes(4, "little") if (r := self.ranks.get(p)) is not None else self._by_heap(p) if len(p) > LONG else None for p in pieces]
         rest = [i for i, ids in enumerate(out) if ids is None]
         steps = np.cumsum([len(pieces[i]) ** 2 for i in rest])  # at most so many rows in all steps
         while rest:
@@ -126,12 +127,12 @@ class Codec:
                 "id": self.byte_ids[np.frombuffer(b"".join(pieces[i] for i in part), np.uint8)],
             })
             ids = self._query(ENCODE, start=start).column("ids").combine_chunks()
-            values, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
-            for j, i in enumerate(part):
-                out[i] = values[offsets[j] : offsets[j + 1]]
+            values, offsets = ids.values.to_numpy().astype("<u4").tobytes(), (4 * ids.offsets.to_numpy().astype(np.int64)).tolist()
+            for i, a, b in zip(part, offsets, offsets[1:], strict=False):
+                out[i] = values[a:b]
         return out
 
-    def _by_heap(self, piece: bytes) -> np.ndarray:
+    def _by_heap(self, piece: bytes) -> bytes:
         """The same contractions in the same order, in n log n steps."""
         ranks, n = self.ranks, len(piece)
         end = list(range(1, n + 1))
@@ -159,7 +160,7 @@ class Codec:
         while i < n:
             out.append(ranks[piece[i : end[i]]])
             i = end[i]
-        return np.array(out, np.int32)
+        return np.array(out, "<u4").tobytes()
 
     def decode_lists(self, lists: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids; ids that the vocabulary lacks raise an error. Lists of more than ``IDS`` ids are decoded in runs."""
@@ -170,7 +171,7 @@ class Codec:
             n = max(1, int(np.searchsorted(np.cumsum(sizes), IDS, side="right")))
             part, runs, sizes = runs[:n], runs[n:], sizes[:n]
             ends, flat = np.cumsum(sizes), np.concatenate([x for _, x in part])
-            if not (self.ids[np.minimum(np.searchsorted(self.ids, flat), len(self.ids) - 1)] == flat).all():
+            if flat.min() < 0 or flat.max() >= len(self.known) or not self.known[flat].all():
                 raise ValueError("an id is not in the vocabulary")
             rows = self._query(DECODE, ids=pa.table({"piece": np.repeat(np.arange(n, dtype=np.int32), sizes), "pos": np.arange(ends[-1]) - np.repeat(ends - sizes, sizes), "id": flat}))
             for k, h in zip(rows.column("piece").to_pylist(), rows.column("hex").to_pylist(), strict=True):
@@ -182,7 +183,7 @@ class Codec:
         cut = [self.split(t) for t in texts]
         new = list(self.cache.missing(set().union(*cut)))
         known = self.cache.new
-        known.update((p, i.astype("<u4").tobytes()) for p, i in zip(new, self.encode_pieces([p.encode() for p in new]), strict=True))
+        known.update(zip(new, self.encode_pieces([p.encode() for p in new]), strict=True))
         return [np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4").astype(np.int32) for pieces in cut]
 
 
