@@ -7,12 +7,18 @@ projections are joins with sums.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_TRAINING = 4000
+from .. import ship
+
+#: Entities of a training set at most; features multiplied at a time; tasks that hold a matrix of entities by entities.
+MAX_TRAINING, FEATURES, TASKS = 4000, 256, 16
 
 
 def centred(profile: DataFrame) -> DataFrame:
@@ -20,15 +26,42 @@ def centred(profile: DataFrame) -> DataFrame:
 
 
 def gram(profile: DataFrame, limit: int = MAX_TRAINING) -> tuple[list, np.ndarray]:
-    """Names and inner products of all entities; more than ``limit`` entities are an error, as the matrix comes to the driver."""
+    """Names and inner products of all entities; more than ``limit`` entities are an error, as the matrix comes to the driver.
+
+    Every task multiplies dense blocks of its features; rows of these sums are added up over the cluster. Entries of one entity and feature are added."""
     names = [r[0] for r in profile.select("entity").distinct().orderBy("entity").limit(limit + 1).collect()]
     if len(names) > limit:
         raise ValueError(f"more than {limit} training entities")
-    x, y = profile.select("feature", F.col("entity").alias("a"), F.col("value").alias("x")), profile.select("feature", F.col("entity").alias("b"), F.col("value").alias("y"))
-    at = {n: i for i, n in enumerate(names)}
-    out = np.zeros((len(names), len(names)))
-    for a, b, v in x.join(y, "feature").where("a <= b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("v")).collect():
-        out[at[a], at[b]] = out[at[b], at[a]] = v
+    ship(profile.sparkSession)
+    n, shared = len(names), profile.sparkSession.sparkContext.broadcast({x: i for i, x in enumerate(names)})
+    valued = profile.where("value IS NOT NULL").groupBy("feature").agg(F.collect_list("entity").alias("entities"), F.collect_list(F.col("value").cast("double")).alias("values"))  # at most ``limit`` entities
+
+    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, at = np.zeros((n, n)), shared.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, FEATURES):
+                part = batch.slice(k, FEATURES)
+                dense = np.zeros((part.num_rows, n))
+                for row, (entities, values) in enumerate(zip(part.column(0), part.column(1), strict=True)):
+                    np.add.at(dense[row], [at[x] for x in entities.as_py()], values.values.to_numpy())
+                out += dense.T @ dense
+        yield from rows(enumerate(out) if out.any() else ())
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[i] = sums.get(i, 0) + np.frombuffer(v.as_py())
+        yield from rows(sums.items())
+
+    def rows(numbered) -> Iterator[pa.RecordBatch]:
+        for i, v in numbered:
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["row", "products"])
+
+    schema, out = "row int, products binary", np.zeros((n, n))
+    parts = valued.select("entities", "values").coalesce(TASKS).mapInArrow(multiplied, schema)
+    for r in parts.repartition("row").mapInArrow(added, schema).toLocalIterator():
+        out[r.row] = np.frombuffer(r.products)
     return names, out
 
 
