@@ -144,3 +144,19 @@ def test_pipeline_stages(spark):
     assert Counter(r.doc_id for r in mixed.collect()) == Counter({r.doc_id: r.taken // r.size for r in mixing.schedule(single).collect() if r.taken})
     encoded = stage["byte_bpe"](spark, mixed, SF)
     assert encoded.count() == mixed.count() == corpus_pipeline.run(spark, SF).count()
+
+
+def test_pipeline_edges(spark, edges, empty):
+    """Every stage on nulls, empty and long texts, repeated rows and clashing columns, and on an empty table."""
+    docs, none = edges, empty
+    for name, stage in corpus_pipeline.STAGES:
+        out, blank = stage(spark, docs, SF), stage(spark, none, SF)
+        assert blank.count() == 0
+        if name == "byte_bpe":
+            assert out.count() == docs.count() and {"doc_id", "ids_sha256"} <= set(out.columns)
+            continue
+        assert out.columns == docs.columns and blank.columns == none.columns
+        if name == "near_duplicates":
+            ids = Counter(r.doc_id for r in out.collect())
+            assert ids[4] == 1 and 5 not in ids and ids[9] == 1 and 10 not in ids and ids[7] == 3
+        docs, none = out.cache(), blank
