@@ -24,16 +24,20 @@ def _files(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
 
 
-def persisted(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read again: cuts lineage, survives lost executors. What is not dropped goes when the application ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the application's part of the shared folder, which goes when the application ends."""
     sc, folder = spark.sparkContext, f"{shared_dir(spark)}/tidymer/{spark.sparkContext.applicationId}"
     if getattr(sc, "_tidymer_folder", None) != folder:
         files, path = _files(spark, folder)
         files.mkdirs(path)
         files.deleteOnExit(path)
         sc._tidymer_folder = folder
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def persisted(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet and read again: cuts lineage, survives lost executors."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -69,5 +69,5 @@ def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):
     return register
 
 
-for _module in ("vectors", "profiles", "sequences", "statistics", "models", "more", "annotations"):
+for _module in ("vectors", "profiles", "sequences", "statistics", "models", "more", "annotations", "files"):
     importlib.import_module(f"tidymer.plans.{_module}")
