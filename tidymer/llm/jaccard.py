@@ -317,8 +317,8 @@ def _apart(met: DataFrame, roots: DataFrame, marks: DataFrame, tried: DataFrame,
     return rest
 
 
-def near_duplicates(docs: DataFrame, linked: Callable[[DataFrame], DataFrame], *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """id, fp (a digest of the row's set) and component_id (the component's least id) of every row; ``linked`` gives edges (a, b) between near fingerprints (fp)."""
+def components(docs: DataFrame, linked: Callable[[DataFrame], DataFrame], *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """id and fp (a digest of the row's set) of every row; fp and component_id (the component's least id) of every set. ``linked`` gives edges (a, b) between near fingerprints (fp)."""
     ship(docs.sparkSession)
     texts = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     prints = written(_prints(texts, _counts(texts, words), words, similarity), "prints")
@@ -345,4 +345,4 @@ def near_duplicates(docs: DataFrame, linked: Callable[[DataFrame], DataFrame], *
     named = component_ids(nodes, connected_components(links))
     for done in (met, leads, tried, links, verifier.marks):
         drop_written(done)
-    return prints.join(named, "fp").select(id_col, "fp", "component_id")
+    return prints.select(id_col, "fp"), named

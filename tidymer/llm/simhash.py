@@ -149,13 +149,18 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, similarity: float | None = None) -> DataFrame:
-    """id, fp and component_id (the component's least id) of every row; with ``similarity``, links are exactly the pairs that reach that Jaccard similarity of shingle sets."""
+def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """id and fp of every row; fp and component_id (the component's least id) of every fp, which is the fingerprint, or with ``similarity`` a digest of the shingle set."""
     if similarity is not None:
-        return jaccard.near_duplicates(docs, lambda nodes: links(nodes, radius), id_col=id_col, text_col=text_col, words=words, similarity=similarity)
+        return jaccard.components(docs, lambda nodes: links(nodes, radius), id_col=id_col, text_col=text_col, words=words, similarity=similarity)
     prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
-    named = component_ids(nodes, connected_components(links(nodes.select("fp"), radius)))
+    return prints, component_ids(nodes, connected_components(links(nodes.select("fp"), radius)))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
+    """id, fp and component_id (the component's least id) of every row; with ``similarity``, links are exactly the pairs that reach that Jaccard similarity of shingle sets."""
+    prints, named = components(docs, id_col=id_col, **how)
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
 
 
@@ -164,6 +169,5 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
 
     Ids name documents; of rows that share an id, or have none and are alone in their component, all stay.
     """
-    found = near_duplicates(docs, id_col=id_col, **how)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id")).distinct()
+    kept = components(docs, id_col=id_col, **how)[1].select(F.col("component_id").alias("kept_id")).distinct()
     return docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")
