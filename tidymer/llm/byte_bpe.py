@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import ship
-from .shared import TwoGenerationCache, slices
+from .shared import TwoGenerationCache, kept, slices
 
 #: Characters whose pieces are held at a time; rows of all steps of a query, and ids in one query, at most; pieces kept between blocks; bytes of a long piece.
 SLICE, STEPS, IDS, KEPT, LONG = 3_000_000, 1 << 24, 400_000, 200_000, 4000
@@ -56,8 +56,6 @@ DECODE = """
 SELECT i.piece, string_agg(v.hex, '' ORDER BY i.pos) AS hex FROM ids i JOIN vocabulary v USING (id) GROUP BY i.piece ORDER BY i.piece
 """
 
-_codecs: dict[int, "Codec"] = {}
-
 
 def _classes() -> tuple[str, str]:
     """Letters and numbers of the Basic Multilingual Plane as ranges for a character class."""
@@ -73,7 +71,7 @@ def _runs(chars: str) -> list[str]:
 
 
 class Codec:
-    """Merge table, vocabulary and DuckDB connection of one rank file; lives as long as the Python worker."""
+    """Merge table, vocabulary and DuckDB connection of one rank file; lives as long as the Python worker has tasks of it only."""
 
     def __init__(self, rank_file: bytes, pattern: str):
         import regex
@@ -188,8 +186,7 @@ class Codec:
 
 
 def _codec(rank_file: bytes, pattern: str) -> Codec:
-    key = hash((rank_file, pattern))
-    return _codecs.get(key) or _codecs.setdefault(key, Codec(rank_file, pattern))
+    return kept(("codec", hash((rank_file, pattern))), lambda: Codec(rank_file, pattern))
 
 
 def _map(docs: DataFrame, rank_path: str, pattern: str, columns: list, schema: str, block) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .. import ship
 from .components import component_ids, connected_components
-from .shared import drop_written, written
+from .shared import drop_written, trimmed, written
 from .shingles import fingerprint, hashes
 
 #: Cells of the table of counts and blocks in which they travel; a cell so many times the mean is crowded, and its shingles are salted.
@@ -56,6 +56,7 @@ def _counts(texts: DataFrame, words: int) -> np.ndarray:
     """How many shingles of all texts, repeats in a text left out, fall into each cell: partial tables are summed block by block over the cluster."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         table = np.zeros(CELLS, np.int64)
         for batch in batches:
             for text in batch.column(0):
@@ -69,6 +70,7 @@ def _counts(texts: DataFrame, words: int) -> np.ndarray:
             yield _batch(block=np.array([number], np.int32), counts=pa.array([press.compress(block.tobytes())], pa.binary()))
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for number, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -114,6 +116,7 @@ def _meet(similarity: float) -> Callable:
     """Rows (token, salt, mix, n, place, fp, crowded), sorted -> those whose shingle another node has too, with the row before it where that may be a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         last = None  # the last row so far, not yet passed on, and the token before it
         for batch in batches:
             rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -183,6 +186,7 @@ def _across(similarity: float, few: int | None) -> Callable:
     and in two parts where the cell has two, and may be links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         held: list[np.ndarray] = []
         values = np.zeros(0, np.uint64)
         for batch in batches:
@@ -267,6 +271,7 @@ class _Verifier:
         names = self.prints.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min(id_col).alias("of")).select("of").distinct()
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trimmed()
             for batch in batches:
                 for k in range(0, batch.num_rows, SETS):
                     found = [np.unique(hashes(text.as_py(), words)) for text in batch.column(0)[k : k + SETS]]
@@ -282,6 +287,7 @@ def _prints(texts: DataFrame, counts: np.ndarray, words: int, similarity: float)
     shared, hot = texts.sparkSession.sparkContext.broadcast(counts), max(HOT, CROWDED * counts.sum() / CELLS)  # CELLS longs
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         seen: set[int] = set()
         for batch in batches:
             for k in range(0, batch.num_rows, SETS):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import ship
-from .shared import drop_written, held_out, written
+from .shared import drop_written, held_out, trimmed, written
 
 MAX_DOCS, MIN_WORD, MIN_GRAM, LANGUAGES, LONGEST = 4000, 2e-5, 1e-5, 4, 5
 #: Words that a text is worth at most; added to counts; words taken together; numbers kept for unseen words; words counted before they are passed on.
@@ -143,6 +143,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     sample = usable.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < least * 1_000_000).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         found: dict[str, Counter] = {}
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
@@ -154,6 +155,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
                 found = {}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         for batch in batches:
             found: dict[tuple, int] = {}
             for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -189,6 +191,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         predictor = Predictor(shared.value)
         for batch in batches:
             found = [predictor.predict(t.as_py()) for t in batch.column(text_col)]

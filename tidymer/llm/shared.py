@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.stores import drop_persisted as drop_written
 from ..operators.stores import persisted as written
 
-__all__ = ["WORD", "TwoGenerationCache", "drop_written", "held_out", "slices", "table", "written"]
+__all__ = ["WORD", "TwoGenerationCache", "drop_written", "held_out", "kept", "slices", "table", "trimmed", "written"]
 
 #: Bytes between words in the contracts: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,6 +42,28 @@ def slices(texts: Iterable[str], limit: int) -> Iterator[list[str]]:
         yield part
 
 
+#: What a Python worker keeps for its next task: one object at most.
+_kept: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    """The object of ``key``, made once for all tasks of this Python worker that follow each other; it goes when a task asks for another or calls ``trimmed``."""
+    if key not in _kept:
+        trimmed()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def trimmed() -> None:
+    """Return to the system what earlier tasks left in this Python worker: kept objects and the allocators' free memory. Workers outlive tasks, so memory of one stage would add to the next one's."""
+    _kept.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 class TwoGenerationCache:
     """A dict of at most 2 * ``limit`` entries that keeps what was used lately; only speed depends on it."""
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .. import ship
 from . import jaccard
 from .components import component_ids, connected_components, merge_labels
-from .shared import written
+from .shared import trimmed, written
 from .shingles import BITS, fingerprint, hashes
 
 CELL = 1024
@@ -133,6 +133,7 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
     dealt = buckets.join(large, "key", "left").select("fp", F.explode(cells).alias("cell"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         cell, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         for batch in itertools.chain(batches, [None]):
             if batch is not None:

@@ -21,17 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import ship
-from .shared import TwoGenerationCache, slices
+from .shared import TwoGenerationCache, kept, slices
 
 #: Characters in a slice whose frequencies are held at a time, and pre-tokens kept between slices.
 SLICE, KEPT = 2_000_000, 250_000
 BLANK = "▁"
 
-_counters: dict[int, "PieceCounter"] = {}
-
 
 class PieceCounter:
-    """Counts the pieces of pre-tokens of one model; lives as long as the Python worker."""
+    """Counts the pieces of pre-tokens of one model; lives as long as the Python worker has tasks of it only."""
 
     def __init__(self, model: bytes):
         import sentencepiece
@@ -64,8 +62,7 @@ def count_tokens(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
         model = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(model.value)
-        counter = _counters.get(key) or _counters.setdefault(key, PieceCounter(model.value))
+        counter = kept(("pieces", hash(model.value)), lambda: PieceCounter(model.value))
         for batch in batches:
             n: list[int] = []
             for part in slices((x.as_py() or "" for x in batch.column(2)), SLICE):

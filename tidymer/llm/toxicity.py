@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import ship
-from .shared import held_out
+from .shared import held_out, trimmed
 
 MAX_DOCS, MAX_BYTES, MAX_TEXT = 2000, 12_000_000, 200_000
 WINDOW, OVERLAP, TOXIC_BYTES, PLAIN_BYTES, PASSAGE = 96, 12, 8192, 110_000, 2048
@@ -150,6 +150,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         scorer = Scorer(shared.value)
         for batch in batches:
             if not batch.num_rows:
