@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import blocks, motifs, ordered
 from ..operators import models as m
-from ..operators import motifs, ordered
 from ..operators import profiles as p
 from ..operators import sequences as s
 from .registry import Tables, query
@@ -30,7 +30,7 @@ def joint_svd_local(t: Tables) -> DataFrame:
     sequence, response = halves(t)
     _, vx, _ = m.joint_svd(sequence, response, amount=5)
     lat = m.latent(sequence, vx)
-    return m.decode_local(m.latent_distances(lat, lat), response)
+    return m.decode_near(lat, lat, response)
 
 
 @query("ridge_dual")
@@ -45,9 +45,7 @@ def ridge_dual(t: Tables) -> DataFrame:
     ("profile",),
 )
 def knn_predict(t: Tables) -> DataFrame:
-    x, y = (t.profile.select("feature", F.col("entity").alias(e), F.col("value").alias(v)) for e, v in (("entity", "x"), ("match", "y")))
-    cos = F.sum(F.col("x") * F.col("y")) / (F.sqrt(F.sum(F.col("x") * F.col("x"))) * F.sqrt(F.sum(F.col("y") * F.col("y"))))
-    similar = x.join(y, "feature").where("entity <> match").groupBy("entity", "match").agg(F.round(cos, 9).alias("value"))
+    similar = blocks.best_matches(t.profile, 3, "cosine", 9)
     return m.knn_predict(similar, t.profile, 3).withColumn("value", F.round("value", 5))
 
 
