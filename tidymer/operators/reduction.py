@@ -11,14 +11,20 @@ from .models import gram
 
 
 def pca(profile: DataFrame, share: float, centre: bool = True) -> DataFrame:
-    """(entity, feature, value) with components as features: those whose cumulative singular values stay below ``share``, and one more. Entities must be of training size."""
-    from .models import centred
+    """(entity, feature, value) with components as features: those whose cumulative singular values stay below ``share``, and one more. Entities or features must be of training size."""
+    from .models import centred, feature_gram, few
 
-    names, g = gram(centred(profile) if centre else profile)
+    rows = centred(profile) if centre else profile
+    by_features = not few(profile)
+    names, g = feature_gram(rows) if by_features else gram(rows)
     values, u = np.linalg.eigh(g)
     order = np.argsort(-values)
     s = np.sqrt(np.maximum(values[order], 0))
     n = min(int((np.cumsum(s) / s.sum() < share).sum()) + 1, len(s))
+    if by_features:
+        table = [(f, k, float(u[i, order[k]])) for i, (_, f) in enumerate(names) for k in range(n)]
+        axes = profile.sparkSession.createDataFrame(table, f"feature {profile.schema['feature'].dataType.simpleString()}, component int, v double")
+        return rows.join(F.broadcast(axes), "feature").groupBy("entity", F.col("component").alias("feature")).agg(F.coalesce(F.sum(F.col("value") * F.col("v")), F.lit(0.0)).alias("value"))
     rows = [(names[i], k, float(u[i, order[k]] * s[k])) for i in range(len(names)) for k in range(n)]
     return profile.sparkSession.createDataFrame(rows, f"entity {profile.schema['entity'].dataType.simpleString()}, feature int, value double")
 
