@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .models import gram
+from .blocks import best_matches
+from .models import apply_linear, feature_gram, few, gram, ridge_primal
 
 
 def make_folds(names: DataFrame, n: int | None, *, seed: int = 1, similar: DataFrame | None = None) -> DataFrame:
@@ -55,7 +56,13 @@ def leave_one_out(sequence: DataFrame, response: DataFrame, how: str, *, alpha:
     factorisation of both sides, from whose first ``components`` the entity's latent row is found by its sequence and decoded by the latent rows near it.
     Every model's prediction is a weighted sum of the others' responses. The weights come from Gram matrices of at most MAX_TRAINING entities, each fold's in a task of its own.
     """
-    names, gx = gram(sequence.join(response.select("entity").distinct(), "entity", "left_semi"))
+    trained = sequence.join(response.select("entity").distinct(), "entity", "left_semi")
+    if how == "nearest" and not few(trained):
+        nearest = best_matches(trained, 1, "whole_cosine", 9).select("entity", F.col("match").alias("other"))
+        return nearest.join(response.withColumnRenamed("entity", "other"), "other").select("entity", "feature", F.col("value").cast("double").alias("value"))
+    if how == "ridge" and alpha > 0 and not few(trained):
+        return _ridge_out(trained, response, alpha)
+    names, gx = gram(trained)
     gy = None
     if how == "joint":
         same, gy = gram(response.join(sequence.select("entity").distinct(), "entity", "left_semi"))
@@ -87,6 +94,23 @@ def leave_one_out(sequence: DataFrame, response: DataFrame, how: str, *, alpha:
     return met.groupBy("entity", "feature").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 
+def _ridge_out(sequence: DataFrame, response: DataFrame, alpha: float) -> DataFrame:
+    """Leave-one-out predictions of a ridge regression from one fit: y - (y - fitted) / (1 - h), where h = x'(X'X + alpha)^-1 x is an entity's leverage."""
+    codes, g = feature_gram(sequence)
+    inverse = np.linalg.inv(g + alpha * np.eye(len(codes)))
+    table = [(f, o, float(inverse[i, j])) for i, (_, f) in enumerate(codes) for j, (_, o) in enumerate(codes)]
+    kind = sequence.schema["feature"].dataType.simpleString()
+    q = sequence.sparkSession.createDataFrame(table, f"feature {kind}, other {kind}, q double")
+    turned = sequence.join(F.broadcast(q), "feature").groupBy("entity", F.col("other").alias("feature")).agg(F.sum(F.col("value") * F.col("q")).alias("t"))
+    leverage = turned.join(sequence, ["entity", "feature"]).groupBy("entity").agg(F.sum(F.col("t") * F.col("value")).alias("h"))
+    given = response.join(sequence.select("entity").distinct(), "entity", "left_semi")
+    fitted = apply_linear(sequence, ridge_primal(sequence, given, alpha)).withColumnRenamed("value", "fitted")
+    known = given.groupBy("feature").agg(F.count("*").alias("n"))
+    met = fitted.join(given.withColumnRenamed("value", "y"), ["entity", "feature"], "left").join(known, "feature").join(leverage, "entity").where("y IS NULL OR n > 1")
+    y = F.coalesce("y", F.lit(0.0))
+    return met.select("entity", "feature", (y - (y - F.col("fitted")) / (1 - F.col("h"))).alias("value"))
+
+
 def _cosines(own: float, products: np.ndarray, others: np.ndarray) -> np.ndarray:
     length = np.sqrt(np.maximum(own * others, 0))
     return np.where(length > 0, products / np.where(length > 0, length, 1), 0.0)
