@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import ordered, pairwise
+from ..operators import blocks, ordered, pairwise
 from ..operators import profiles as p
 from .registry import Tables, query
 
@@ -111,5 +111,5 @@ for _metric, _sql in SQL_METRICS.items():
 
 @query("supplier_pearson_top3", "WITH c AS (SELECT a.entity AS a, b.entity AS b, round(corr(a.value, b.value), 6) AS value FROM profile a JOIN profile b ON a.feature = b.feature AND a.entity <> b.entity GROUP BY ALL), f AS (SELECT a, b, CASE WHEN value IS NULL OR isnan(value) THEN 0 ELSE value END AS value FROM c) SELECT a, b, value, row_number() OVER (PARTITION BY a ORDER BY value DESC, b) AS rank FROM f QUALIFY rank <= 3", ("profile",))
 def supplier_pearson_top3(t: Tables) -> DataFrame:
-    sim = pairwise.similarity(t.profile.withColumn("top", F.lit(True)), "pearson").withColumn("value", F.round("value", 6))
-    return pairwise.most_similar(sim, 3).withColumn("rank", F.col("rank").cast("long"))
+    best = blocks.best_matches(t.profile, 3, "pearson", 6)
+    return best.select(F.col("entity").alias("a"), F.col("match").alias("b"), "value", F.col("rank").cast("long").alias("rank"))
