@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import conservation as c
-from ..operators import folds, graph, models, profiles, statistics
+from ..operators import blocks, folds, graph, models, profiles, statistics
 from ..operators import sequences as s
 from .registry import Tables, query
 
@@ -204,10 +204,8 @@ def primal_ridge(t: Tables) -> DataFrame:
 
 @query("latent_stats_operator", "WITH d AS (SELECT a.l_suppkey AS entity, b.l_suppkey AS match, round(avg(abs(a.q - b.q)), 6) AS distance FROM (SELECT l_suppkey, l_linenumber, avg(l_quantity) AS q FROM lineitem GROUP BY ALL) a JOIN (SELECT l_suppkey, l_linenumber, avg(l_quantity) AS q FROM lineitem GROUP BY ALL) b ON a.l_linenumber = b.l_linenumber AND a.l_suppkey <> b.l_suppkey GROUP BY ALL) SELECT entity, min(distance) AS min_distance FROM d GROUP BY entity")
 def latent_stats_operator(t: Tables) -> DataFrame:
-    q = t.lineitem.groupBy("l_suppkey", "l_linenumber").agg(F.avg("l_quantity").alias("q"))
-    a, b = q.select(F.col("l_suppkey").alias("entity"), "l_linenumber", F.col("q").alias("x")), q.select(F.col("l_suppkey").alias("match"), "l_linenumber", F.col("q").alias("y"))
-    distances = a.join(b, "l_linenumber").where("entity <> match").groupBy("entity", "match").agg(F.round(F.avg(F.abs(F.col("x") - F.col("y"))), 6).alias("distance"))
-    return models.latent_stats(distances)
+    q = t.lineitem.groupBy(F.col("l_suppkey").alias("entity"), F.col("l_linenumber").alias("feature")).agg(F.avg("l_quantity").alias("value"))
+    return models.latent_stats(blocks.best_matches(q, 1, "near", 6).select("entity", "match", (-F.col("value")).alias("distance")))
 
 
 @query("family_relations", f"WITH {CLUSTERS}, m AS (SELECT a.cluster AS a, b.cluster AS b, round(count(*) / 25.0::DOUBLE, 6) AS value FROM clusters a JOIN clusters b ON a.species = b.species AND a.cluster < b.cluster GROUP BY ALL), mutual AS (SELECT a, b, value FROM m UNION ALL SELECT b, a, value FROM m), best AS (SELECT x.a AS cluster, x.b AS parent, x.value FROM mutual x JOIN ages p ON p.cluster = x.a JOIN ages q ON q.cluster = x.b WHERE q.age > p.age AND x.value >= 0.2 QUALIFY row_number() OVER (PARTITION BY x.a ORDER BY x.value DESC, x.b) = 1) SELECT a.cluster, a.age, b.parent, b.value FROM ages a LEFT JOIN best b USING (cluster)")
