@@ -436,3 +436,15 @@ def test_the_smaller_side_is_solved_where_entities_are_many(spark, monkeypatch):
     monkeypatch.setattr(models, "MANY", 3)
     after = run()
     assert sizes and max(sizes) <= 4 and all(a == pytest.approx(b) for a, b in zip(before, after, strict=True))
+
+
+@pytest.mark.parametrize("sigma", [0.2, 0.001])
+def test_leave_one_out_joint_of_more_entities_than_a_gram_matrix_holds(spark, monkeypatch, sigma):
+    rng = np.random.default_rng(8)
+    x, y = long(spark, rng.normal(size=(12, 3))), long(spark, rng.normal(size=(12, 4)) + 1)
+    y = y.where("entity + feature <> 5")
+    run = lambda: values(folds.leave_one_out(x, y, "joint", components=2, sigma=sigma))
+    before = run()
+    monkeypatch.setattr(models, "MAX_TRAINING", 8)
+    monkeypatch.setattr(folds, "BLOCK", 5)
+    assert run() == pytest.approx(before)

@@ -9,8 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import best_matches
-from .models import apply_linear, feature_gram, few, gram, ridge_primal
+from .blocks import best_matches, crossed
+from .models import apply_linear, by_entities, feature_gram, few, gram, ridge_primal
+from .stores import persisted
+
+#: Entities of a block of ``joint``; matrices of features by features solved at a time.
+BLOCK, SOLVED = 8192, 256
 
 
 def make_folds(names: DataFrame, n: int | None, *, seed: int = 1, similar: DataFrame | None = None) -> DataFrame:
@@ -55,6 +59,7 @@ def leave_one_out(sequence: DataFrame, response: DataFrame, how: str, *, alpha:
     ``nearest`` takes the response of the entity with the largest cosine of sequence features, ``ridge`` a ridge regression without intercept, ``joint`` the
     factorisation of both sides, from whose first ``components`` the entity's latent row is found by its sequence and decoded by the latent rows near it.
     Every model's prediction is a weighted sum of the others' responses. The weights come from Gram matrices of at most MAX_TRAINING entities, each fold's in a task of its own.
+    Of more entities, or for ``joint`` of more than features and MANY, the features are solved instead, which gives the same.
     """
     trained = sequence.join(response.select("entity").distinct(), "entity", "left_semi")
     if how == "nearest" and not few(trained):
@@ -62,10 +67,14 @@ def leave_one_out(sequence: DataFrame, response: DataFrame, how: str, *, alpha:
         return nearest.join(response.withColumnRenamed("entity", "other"), "other").select("entity", "feature", F.col("value").cast("double").alias("value"))
     if how == "ridge" and alpha > 0 and not few(trained):
         return _ridge_out(trained, response, alpha)
+    if how == "joint":
+        answered = response.join(sequence.select("entity").distinct(), "entity", "left_semi")
+        if not by_entities(trained, answered):
+            return _joint_out(trained, answered, components, sigma, least)
     names, gx = gram(trained)
     gy = None
     if how == "joint":
-        same, gy = gram(response.join(sequence.select("entity").distinct(), "entity", "left_semi"))
+        same, gy = gram(answered)
         if same != names:
             raise ValueError("sequence and response must hold the same entities")
     inverse = np.linalg.pinv(gx + alpha * np.eye(len(names))) if how == "ridge" else None
@@ -111,6 +120,78 @@ def _ridge_out(sequence: DataFrame, response: DataFrame, alpha: float) -> DataFr
     return met.select("entity", "feature", (y - (y - F.col("fitted")) / (1 - F.col("h"))).alias("value"))
 
 
+def _joint_out(sequence: DataFrame, response: DataFrame, components: int, sigma: float, least: float) -> DataFrame:
+    """Leave-one-out predictions of ``joint`` from the Gram matrix of all features, from which an entity's own products are taken off for its fold.
+
+    An entity carries its fold's axes and its latent row there to every block of the others; weighted sums of responses leave a task, pairs do not.
+    """
+    names, g = feature_gram(sequence, response)
+    n, first = len(names), sum(side == 0 for side, _ in names)
+    answers, spark, kind = [f for side, f in names if side == 1], sequence.sparkSession, sequence.schema["entity"].dataType.simpleString()
+    parts = []
+    for k, p in enumerate((sequence, response)):
+        codes = spark.createDataFrame([(f, i) for i, (side, f) in enumerate(names) if side == k], f"feature {p.schema['feature'].dataType.simpleString()}, code int")
+        parts.append(p.join(F.broadcast(codes), "feature").select(F.col("entity").alias("id"), "code", F.coalesce(F.col("value").cast("double"), F.lit(float("nan"))).alias("value")))
+    rows = persisted(parts[0].union(parts[1]).groupBy("id").agg(F.collect_list("code").alias("codes"), F.collect_list("value").alias("values")), "rows")
+    shared = spark.sparkContext.broadcast(g)
+
+    def solved(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = shared.value
+        for part in parts:
+            for low in range(0, len(part), SOLVED):
+                some = part.iloc[low : low + SOLVED]
+                z = _dense(some, n)[0]
+                axes, latent = [], []
+                for row, values, v in zip(z, *np.linalg.eigh(g - z[:, :, None] * z[:, None, :]), strict=True):
+                    order = np.argsort(-values, kind="stable")[:components]
+                    v = v[:, order[values[order] > max(values.max(), 0) * 1e-12]]
+                    axes.append(v.ravel())
+                    latent.append(np.linalg.pinv(v[:first].T @ v[:first]) @ (v[:first].T @ row[:first]) if v.size else np.zeros(0))
+                yield pd.DataFrame({"id": some.id, "turn": axes, "latent": latent})
+
+    tests = persisted(rows.repartition(64, "id").mapInPandas(solved, f"id {kind}, turn array<double>, latent array<double>"), "axes")
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if not a.empty and not b.empty:
+            b = b.sort_values("id").reset_index(drop=True)
+            z, known, there = _dense(b, n)
+            table = np.hstack([z[:, first:], known[:, first:], there[:, first:]])
+            ids = b.id.to_numpy()
+            for own, axes, row in zip(a.id, a.turn, a.latent, strict=True):
+                v = np.asarray(axes, float).reshape(n, -1)
+                latent = z @ v
+                d = 1 - _cosines(float(np.dot(row, row)), latent @ np.asarray(row, float), (latent * latent).sum(axis=1))
+                d[ids == own] = np.inf
+                w = np.exp(-(d**2) / sigma**2)
+                w[w < least] = 0
+                k = int(d.argmin())
+                if np.isfinite(d[k]):
+                    sums = np.vstack([w @ table, table[k]])
+                    sums[0, len(answers) :] = (w > 0) @ table[:, len(answers) :]
+                    out.append((own, w.sum(), sums[0], d[k], ids[k], sums[1]))
+        return pd.DataFrame(out, columns=["entity", "weight", "sums", "distance", "match", "own"])
+
+    part = crossed(tests, rows, meet, f"entity {kind}, weight double, sums array<double>, distance double, match {kind}, own array<double>", BLOCK)
+    total = F.array(*(F.sum(F.get("sums", F.lit(i))) for i in range(3 * len(answers))))
+    met = part.groupBy("entity").agg(F.sum("weight").alias("weight"), total.alias("sums"), F.min_by("own", F.struct("distance", "match")).alias("own"))
+    chosen = met.select("entity", F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0).alias("weight"), F.when(F.col("weight") > 0, F.col("sums")).otherwise(F.col("own")).alias("sums"))
+    zipped = F.arrays_zip(F.array(*map(F.lit, answers)).alias("feature"), *(F.slice("sums", 1 + i * len(answers), len(answers)).alias(c) for i, c in enumerate(("sum", "known", "there"))))
+    long = chosen.select("entity", "weight", F.explode(zipped).alias("z")).where("z.there > 0")
+    return long.select("entity", F.col("z.feature").alias("feature"), F.when(F.col("z.known") > 0, F.col("z.sum") / F.col("weight")).alias("value"))
+
+
+def _dense(rows: pd.DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of an entity's values by code, how many of them are known and how many there are."""
+    z, known, there = np.zeros((3, len(rows), n))
+    for i, (codes, values) in enumerate(zip(rows.codes, rows["values"], strict=True)):
+        values = np.asarray(values, float)
+        np.add.at(z[i], codes, np.nan_to_num(values, nan=0.0))
+        np.add.at(known[i], codes, ~np.isnan(values))
+        np.add.at(there[i], codes, 1.0)
+    return z, known, there
+
+
 def _cosines(own: float, products: np.ndarray, others: np.ndarray) -> np.ndarray:
     length = np.sqrt(np.maximum(own * others, 0))
     return np.where(length > 0, products / np.where(length > 0, length, 1), 0.0)
