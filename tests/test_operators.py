@@ -458,6 +458,14 @@ def test_average_linkage_takes_memory_for_pairs_and_not_for_the_square_of_entiti
     assert counts == {0.05: (200_000, 200_000), 0.5: (199_500, 200_000)}
 
 
+def test_subcluster_of_many_entities(spark):
+    k = F.col("id")
+    edges = spark.range(100_000).select((2 * k).alias("a"), (2 * k + 1).alias("b"), F.when(k < 500, 0.1).otherwise(0.9).alias("distance"))
+    members = spark.range(200_000).select("id", F.lit(7).alias("cluster"))
+    found = graph.subcluster(members, edges, "average", 0.5)
+    assert found.count() == 200_000 and found.select("sub").distinct().count() == 199_500
+
+
 @pytest.mark.parametrize("method", ["average", "complete"])
 def test_linkage_of_pairs_is_that_of_the_whole_matrix(method):
     rng = np.random.default_rng(4)
