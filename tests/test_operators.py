@@ -487,3 +487,13 @@ def test_conserved_groups_of_a_component_of_thousands(spark):
     homologs = spark.range(2999).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(0.9).alias("value"), F.lit(0.1).alias("distance"))
     got = {r.id: r.cluster for r in graph.conserved_groups(homologs, members, tree, 0.5, 0.4).collect()}
     assert got == {k: k - k % 2 for k in range(3000)}
+
+
+def test_average_linkage_of_vectors_forms_no_pair_beyond_the_cut(spark):
+    from tidymer.plans.vectors import average_linkage
+
+    n = 30_000  # on a circle, each within the cut of the next; all distances would be 450 million
+    frame = spark.range(n).select("id", F.array(F.cos(F.col("id") * (math.tau / n)), F.sin(F.col("id") * (math.tau / n))).alias("vec"))
+    edges = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = average_linkage(frame, edges, 3e-8).groupBy("component", "cluster").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.sum(F.col("centre").cast("int")).alias("centres")).collect()
+    assert {(r.first, r.last, r.centres) for r in got} == {(k, k + 1, 1) for k in range(0, n, 2)}

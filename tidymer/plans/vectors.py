@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vector
 from ..operators import folds, graph, neighbours
+from ..operators.stores import persisted
 from .registry import Tables, query
 
 COS = "round(coalesce(list_dot_product(a.vec, b.vec) / nullif(sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec)), 0), 0), 9)"
@@ -107,11 +107,12 @@ def agglomerative_average(t: Tables) -> DataFrame:
 def average_linkage(vectors: DataFrame, edges: DataFrame, cut: float) -> DataFrame:
     """component, id, cluster, centre of every vector: average linkage on all distances inside the components of the pairs within the cut."""
     usable = vectors.where("id IS NOT NULL AND vec IS NOT NULL").select("id", "vec")
+    edges = persisted(edges.select("a", "b"), "edges")
     placed = usable.join(graph.connected_components(usable.select("id"), edges), "id")
     alone = placed.join(placed.groupBy("component").count().where("count = 1"), "component", "left_semi")
-    a, b = (placed.select("component", F.col("id").alias(x), F.col("vec").alias(f"{x}_vec")) for x in "ab")
-    inner = a.join(b, "component").where("a < b").select("component", "a", "b", (1 - F.round(vector.cosine("a_vec", "b_vec"), neighbours.DIGITS)).alias("distance"))
-    return graph.agglomerative(inner, "component", "average", cut).union(alone.select("component", "id", F.lit(0), F.lit(True)))
+    many = placed.join(alone.select("id"), "id", "left_anti")
+    inner = edges.join(placed.select(F.col("id").alias("a"), "component"), "a")
+    return graph.average_of_vectors(many, inner, "component", cut).union(alone.select("component", "id", F.lit(0), F.lit(True)))
 
 
 @query("cluster_summary", "WITH n AS (SELECT label AS cluster, count(*) AS size FROM embeddings GROUP BY label) SELECT size, count(*) AS n_clusters FROM n GROUP BY size")
