@@ -510,3 +510,15 @@ def test_seeded_cover_reads_its_edges_once(spark):
     edges = spark.createDataFrame([(0, 5), (0, 1), (1, 2), (3, 4)], "a long, b long").mapInArrow(counted, "a long, b long")
     got = {r.id: r.centre for r in graph.seeded_cover(edges, spark.range(6), spark.range(0, 6, 5)).collect()}
     assert got == {0: 0, 5: 0, 1: 0, 2: 2, 3: 3, 4: 3} and read.value == 4
+
+
+def test_closed_edges_form_no_path_of_two_edges(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    pairs = sorted({(int(min(p)), int(max(p))) for p in rng.integers(0, 40, (90, 2)) if p[0] != p[1]})
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    near = {k: {y for p in pairs if k in p for y in p} - {k} for k in range(40)}
+    monkeypatch.setattr(neighbours, "BLOCK", 7)
+    monkeypatch.setattr(neighbours, "COLUMNS", 10)
+    monkeypatch.setattr(neighbours, "triangles", None)
+    got = sorted((r.a, r.b) for r in neighbours.closed_edges(edges).collect())
+    assert got == [p for p in pairs if near[p[0]] & near[p[1]]] and 0 < len(got) < len(pairs)

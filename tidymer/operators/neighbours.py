@@ -17,6 +17,9 @@ from .stores import persisted
 
 BLOCK, DIGITS = 4096, 9
 
+#: Neighbours as bits at a time, and edges compared at a time.
+COLUMNS, PAIRS = 8192, 16_384
+
 
 def _blocks(df: DataFrame, other_blocks: int, own_blocks: int, first: bool) -> DataFrame:
     own = F.pmod(F.xxhash64("id"), F.lit(own_blocks)).cast("int")
@@ -123,10 +126,41 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 
 def closed_edges(edges: DataFrame) -> DataFrame:
-    """Edges that are part of a triangle."""
-    t = triangles(edges)
-    sides = t.select("a", "b").union(t.select("a", F.col("c"))).union(t.select(F.col("b").alias("a"), F.col("c").alias("b")))
-    return edges.join(sides.distinct(), ["a", "b"], "left_semi")
+    """Edges (a, b; a < b) that are part of a triangle: both ends have a neighbour in common.
+
+    Lists of neighbours meet in blocks and are compared as bits, so no path of two edges is formed: a list is carried once for every block of the other ends.
+    """
+    edges = persisted(edges, "edges")
+    both = edges.where("a <> b").select(F.col("a").alias("id"), F.col("b").alias("near")).union(edges.where("a <> b").select("b", "a"))
+    rows = persisted(both.groupBy("id").agg(F.collect_set("near").alias("near")), "near")
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame(columns=["a", "b"])
+        b = b.sort_values("id")
+        sides = [(np.repeat(np.arange(len(f)), f.near.map(len)), np.concatenate(f.near.tolist())) for f in (a, b)]
+        ai, bi, (x, y) = a.id.to_numpy(), b.id.to_numpy(), sides[0]
+        at = np.minimum(np.searchsorted(bi, y), len(bi) - 1)
+        fit = np.flatnonzero((bi[at] == y) & (ai[x] < y))
+        x, y = x[fit], at[fit]
+        closed, ids = np.zeros(len(x), bool), np.intersect1d(sides[0][1], sides[1][1])
+        for low in range(0, len(ids) if len(x) else 0, COLUMNS):
+            some, bits = ids[low : low + COLUMNS], []
+            for f, (row, near) in zip((a, b), sides, strict=True):
+                place = np.minimum(np.searchsorted(some, near), len(some) - 1)
+                there = some[place] == near
+                dense = np.zeros((len(f), -(-len(some) // 64) * 64), bool)
+                dense[row[there], place[there]] = True
+                bits.append(np.packbits(dense, axis=1).view(np.uint64))
+            rest = np.flatnonzero(~closed)
+            for k in range(0, len(rest), PAIRS):
+                part = rest[k : k + PAIRS]
+                closed[part] = (bits[0][x[part]] & bits[1][y[part]]).any(axis=1)
+        return pd.DataFrame({"a": ai[x[closed]], "b": bi[y[closed]]})
+
+    found = crossed(rows, rows, meet, f"a {kind}, b {kind}", BLOCK)
+    return edges.join(found, ["a", "b"], "left_semi")
 
 
 def candidate_pairs(by_a: DataFrame, by_b: DataFrame, cut_a: float, cut_b: float) -> DataFrame:
