@@ -517,7 +517,7 @@ def test_closed_edges_form_no_path_of_two_edges(spark, monkeypatch):
     pairs = sorted({(int(min(p)), int(max(p))) for p in rng.integers(0, 40, (90, 2)) if p[0] != p[1]})
     edges = spark.createDataFrame(pairs, "a long, b long")
     near = {k: {y for p in pairs if k in p for y in p} - {k} for k in range(40)}
-    monkeypatch.setattr(neighbours, "BLOCK", 7)
+    monkeypatch.setattr(neighbours, "LISTS", 7)
     monkeypatch.setattr(neighbours, "COLUMNS", 10)
     monkeypatch.setattr(neighbours, "triangles", None)
     got = sorted((r.a, r.b) for r in neighbours.closed_edges(edges).collect())

@@ -17,8 +17,8 @@ from .stores import persisted
 
 BLOCK, DIGITS = 4096, 9
 
-#: Neighbours as bits at a time, and edges compared at a time.
-COLUMNS, PAIRS = 8192, 16_384
+#: Lists of neighbours in a block, neighbours as bits at a time, and edges compared at a time.
+LISTS, COLUMNS, PAIRS = 16_384, 4096, 16_384
 
 
 def _blocks(df: DataFrame, other_blocks: int, own_blocks: int, first: bool) -> DataFrame:
@@ -159,7 +159,7 @@ def closed_edges(edges: DataFrame) -> DataFrame:
                 closed[part] = (bits[0][x[part]] & bits[1][y[part]]).any(axis=1)
         return pd.DataFrame({"a": ai[x[closed]], "b": bi[y[closed]]})
 
-    found = crossed(rows, rows, meet, f"a {kind}, b {kind}", BLOCK)
+    found = crossed(rows, rows, meet, f"a {kind}, b {kind}", LISTS)
     return edges.join(found, ["a", "b"], "left_semi")
 
 
