@@ -522,3 +522,8 @@ def test_closed_edges_form_no_path_of_two_edges(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "triangles", None)
     got = sorted((r.a, r.b) for r in neighbours.closed_edges(edges).collect())
     assert got == [p for p in pairs if near[p[0]] & near[p[1]]] and 0 < len(got) < len(pairs)
+
+
+def test_extend_intervals_puts_those_without_a_place_last(spark):
+    rows = spark.createDataFrame([("u", 1, 1000, 1060, 5000), ("u", 2, None, None, 5000), ("u", 3, 2000, 2060, 5000)], "u string, id int, start long, end long, length long")
+    assert {r.id: (r.start, r.end) for r in s.extend_intervals(rows, ["u"], 100, "length", "id").collect()} == {1: (900, 1160), 2: (2061, 5000), 3: (1900, 2160)}

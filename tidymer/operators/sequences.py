@@ -186,8 +186,8 @@ def identity_of_pairs(seqs: DataFrame) -> DataFrame:
 
 
 def extend_intervals(rows: DataFrame, by: list[str], flank: int, length: str, tie: str | None = None) -> DataFrame:
-    """Intervals with ``flank`` more positions on either side, stopped by their neighbours and the sequence's ends. ``tie`` orders equal intervals."""
-    w = Window.partitionBy(*by).orderBy("start", "end", *([tie] if tie else []))
+    """Intervals with ``flank`` more positions on either side, stopped by their neighbours and the sequence's ends. ``tie`` orders equal intervals; those without a place come last."""
+    w = Window.partitionBy(*by).orderBy(*(F.asc_nulls_last(c) for c in ("start", "end", *([tie] if tie else []))))
     low = F.greatest(F.col("start") - flank, F.coalesce(F.lag("end").over(w) + 1, F.lit(1)))
     high = F.least(F.col("end") + flank, F.coalesce(F.lead("start").over(w) - 1, F.col(length)))
     return rows.withColumns({"start": low, "end": high})
