@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidymer.functions import vector
-from tidymer.operators import alignment, conservation, folds, graph, models, motifs, neighbours, pairwise, statistics
+from tidymer.operators import alignment, blocks, conservation, folds, graph, models, motifs, neighbours, pairwise, statistics
 from tidymer.operators import profiles as p
 from tidymer.operators import sequences as s
 
@@ -527,3 +527,35 @@ def test_closed_edges_form_no_path_of_two_edges(spark, monkeypatch):
 def test_extend_intervals_puts_those_without_a_place_last(spark):
     rows = spark.createDataFrame([("u", 1, 1000, 1060, 5000), ("u", 2, None, None, 5000), ("u", 3, 2000, 2060, 5000)], "u string, id int, start long, end long, length long")
     assert {r.id: (r.start, r.end) for r in s.extend_intervals(rows, ["u"], 100, "length", "id").collect()} == {1: (900, 1160), 2: (2061, 5000), 3: (1900, 2160)}
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_sends_no_vector_to_every_block(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "VECTORS", 16)
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(90, 3)))  # with equal and opposite directions, and zeros
+    x[7], x[40:50] = 0, x[3]
+    df = spark.createDataFrame([(100 - i, v.tolist()) for i, v in enumerate(x)], "id int, vec array<double>")
+    with np.errstate(all="ignore"):
+        cos = np.round(np.nan_to_num(x @ x.T / np.outer(*[np.linalg.norm(x, axis=1)] * 2)), 9)
+    want = {(100 - i, r + 1): 100 - j for i in range(90) for r, j in enumerate(sorted(set(range(90)) - {i}, key=lambda j: (-cos[i, j], 100 - j))[:4])}
+    found = neighbours.nearest(df, df, 4, id_col="id", vector_col="vec")
+    assert "CartesianProduct" in plan_of(found) and "CoGroup" not in plan_of(found)
+    assert {(r.id, r.rank): r.match for r in found.collect()} == want
+
+
+def test_within_computes_each_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "VECTORS", 8)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(50, 3))
+    df = spark.createDataFrame([(f"v{i:02}", v.tolist()) for i, v in enumerate(x)], "id string, vec array<double>")
+    other = df.where("id > 'v20'")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(f"v{i:02}", f"v{j:02}") for i in range(50) for j in range(50) if i != j and unit[i] @ unit[j] >= 0.4}
+    half = neighbours.within(df, df, 0.6, id_col="id", vector_col="vec", half=True)
+    assert "CoGroup" not in plan_of(half) and sorted((r.id, r.match) for r in half.collect()) == sorted(p for p in want if p[0] < p[1])
+    assert sorted((r.id, r.match) for r in neighbours.within(df, df, 0.6, id_col="id", vector_col="vec").collect()) == sorted(want)
+    assert sorted((r.id, r.match) for r in neighbours.within(df, other, 0.6, id_col="id", vector_col="vec").collect()) == sorted(p for p in want if p[1] > "v20")

@@ -1,90 +1,128 @@
 """Nearest-neighbour and threshold joins of vectors by cosine, exact, in bounded blocks.
 
-Both sides are hashed to blocks of about ``BLOCK`` vectors and every pair of blocks is one task-sized matrix product;
-a task passes on the k best of each query, or the pairs within the cut. Work is the product of both sides, as exactness
-asks; a shuffle carries each vector once for every block of the other side.
+Both sides are hashed to blocks of about ``blocks.VECTORS`` vectors, written once; a task reads some blocks of both sides
+and passes on the k best of each query, or the pairs within the cut. Work is the product of both sides, as exactness asks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import crossed
+from .blocks import CELLS, DIGITS, Vectors, compared, crossed, packed
 from .stores import persisted
 
-BLOCK, DIGITS = 4096, 9
+#: Pairs handed on at a time.
+ROWS = 1 << 16
 
 #: Lists of neighbours in a block, neighbours as bits at a time, and edges compared at a time.
 LISTS, COLUMNS, PAIRS = 16_384, 4096, 16_384
 
 
-def _blocks(df: DataFrame, other_blocks: int, own_blocks: int, first: bool) -> DataFrame:
-    own = F.pmod(F.xxhash64("id"), F.lit(own_blocks)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1)))
-    named = df.withColumn("own", own).withColumn("other", other)
-    return named.select(F.col("own" if first else "other").alias("i"), F.col("other" if first else "own").alias("j"), "id", "vec")
-
-
-def _scan(queries: DataFrame, base: DataFrame, take, schema: str) -> DataFrame:
-    nq, nb = (max(1, -(-df.count() // BLOCK)) for df in (queries, base))
-    left, right = _blocks(queries, nb, nq, True), _blocks(base, nq, nb, False)
-
-    def met(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame(columns=["id", "match", "cosine"])
-        x, y = (np.array(f.vec.tolist(), np.float64) for f in (a, b))
-        lengths = [np.linalg.norm(v, axis=1) for v in (x, y)]
-        with np.errstate(all="ignore"):
-            cos = np.round(np.nan_to_num(x @ y.T / np.outer(*lengths)), DIGITS)
-        qi, bi = a.id.to_numpy(), b.id.to_numpy()
-        r, c = take(cos, qi, bi)
-        return pd.DataFrame({"id": qi[r], "match": bi[c], "cosine": cos[r, c]})
-
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(met, schema)
-
-
 def _prepared(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL")
 
 
 def nearest(queries: DataFrame, base: DataFrame, k: int = 1, *, id_col: str, vector_col: str, exclude_self: bool = True) -> DataFrame:
-    """id, match, cosine, rank of the k nearest base vectors of every query; ties go to the lower id. Cosines are rounded to 9 decimals."""
-    q, b = _prepared(queries, id_col, vector_col), _prepared(base, id_col, vector_col)
-    kind = q.schema["id"].dataType.simpleString()
-
-    def take(cos: np.ndarray, qi: np.ndarray, bi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if exclude_self:
-            cos = np.where(qi[:, None] == bi[None], -np.inf, cos)
-        order = np.lexsort((np.broadcast_to(bi, cos.shape), -cos), axis=1)[:, :k] if k > 1 else _first(cos, bi)
-        r = np.repeat(np.arange(len(qi)), order.shape[1])
-        c = order.ravel()
-        fit = cos[r, c] > -np.inf
-        return r[fit], c[fit]
-
-    best = _scan(q, b, take, f"id {kind}, match {kind}, cosine double")
+    """id, match, cosine, rank of the k nearest base vectors of every query; ties go to the lower id. Cosines are rounded to 9 decimals.
+
+    A task passes on the k best of each query among all base vectors that it reads. Pairs that products in single precision can't exclude are computed in double precision.
+    """
+    kind = _prepared(queries, id_col, vector_col).schema["id"].dataType.simpleString()
+    q = packed(_prepared(queries, id_col, vector_col))
+    b = q if base is queries else packed(_prepared(base, id_col, vector_col))
+
+    def meet(pairs: Iterator[tuple[Vectors, Vectors]]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for a, other in pairs:
+            if best is None or best.a is not a:
+                if best is not None:
+                    yield best.batch()
+                best = _Best(a, k)
+            best.add(other, exclude_self)
+        if best is not None:
+            yield best.batch()
+
+    best = compared(q, b, meet, f"id {kind}, match {kind}, cosine double")
     w = Window.partitionBy("id").orderBy(F.desc("cosine"), "match")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _first(cos: np.ndarray, bi: np.ndarray) -> np.ndarray:
-    top = cos == cos.max(axis=1, keepdims=True)
-    order = np.argsort(bi, kind="stable")
-    return order[top[:, order].argmax(axis=1)][:, None]
+class _Best:
+    """The k best of each row of a block so far."""
+
+    def __init__(self, a: Vectors, k: int):
+        self.a, self.k, self.kind = a, k, a.kind
+        self.row, self.cos, self.match = np.empty(0, np.int64), np.empty(0), a.ids[:0]
+        self.least = np.full(len(a.ids), -np.inf)  # of those that have k
+
+    def add(self, b: Vectors, exclude_self: bool) -> None:
+        found = [(self.row, self.cos, self.match)]
+        own, same = _equal(self.a.ids, b.ids) if exclude_self else (np.empty(0, np.int64),) * 2
+        for low, near in self.a.slabs(b):
+            part = (own >= low) & (own < low + len(near))
+            near[own[part] - low, same[part]] = -9.0
+            least = self.least[low : low + len(near)] - self.a.margin
+            new = np.flatnonzero(np.isinf(least))
+            if len(new):
+                at = max(0, len(b.ids) - self.k)
+                least[new] = np.maximum(np.partition(near[new], at, axis=1)[:, at] - 2 * self.a.margin, -8.0) if at else -8.0
+            flat = np.flatnonzero(near >= least.astype(np.float32)[:, None])
+            for i in range(0, len(flat), CELLS // 4):
+                r, c = np.divmod(flat[i : i + CELLS // 4], len(b.ids))
+                r += low
+                cos = self.a.cosines(b, r, c)
+                fit = cos >= self.least[r]
+                found.append(self._cut(r[fit], cos[fit], b.ids[c[fit]]))
+        self.row, self.cos, self.match = self._cut(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        n = np.bincount(self.row, minlength=len(self.least))
+        full, last = n == self.k, np.cumsum(n) - 1
+        self.least[full] = self.cos[last[full]]
+
+    def _cut(self, row: np.ndarray, cos: np.ndarray, match: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((np.unique(match, return_inverse=True)[1], -cos, row))
+        row, cos, match = row[order], cos[order], match[order]
+        fit = np.arange(len(row)) - np.searchsorted(row, row) < self.k
+        return row[fit], cos[fit], match[fit]
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"id": pa.array(self.a.ids[self.row], self.kind), "match": pa.array(self.match, self.kind), "cosine": self.cos})
+
+
+def _equal(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of equal elements in both."""
+    order = np.argsort(b, kind="stable")
+    low, high = (np.searchsorted(b[order], a, side) for side in ("left", "right"))
+    n = high - low
+    r = np.repeat(np.arange(len(a)), n)
+    return r, order[np.repeat(low, n) + np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n)]
 
 
 def within(queries: DataFrame, base: DataFrame, distance: float, *, id_col: str, vector_col: str, half: bool = False) -> DataFrame:
-    """id, match, cosine of all pairs of different ids with cosine distance of at most ``distance``; with ``half`` only id < match."""
-    q, b = _prepared(queries, id_col, vector_col), _prepared(base, id_col, vector_col)
-    kind = q.schema["id"].dataType.simpleString()
-
-    def take(cos: np.ndarray, qi: np.ndarray, bi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        fit = qi[:, None] < bi[None] if half else qi[:, None] != bi[None]
-        return np.nonzero(fit & (cos >= 1 - distance))
-
-    return _scan(q, b, take, f"id {kind}, match {kind}, cosine double")
+    """id, match, cosine of all pairs of different ids with cosine distance of at most ``distance``; with ``half`` only id < match. Of one frame with itself, each pair is computed once."""
+    kind = _prepared(queries, id_col, vector_col).schema["id"].dataType.simpleString()
+    one = base is queries
+    q = packed(_prepared(queries, id_col, vector_col))
+    b = q if one else packed(_prepared(base, id_col, vector_col))
+
+    def meet(pairs: Iterator[tuple[Vectors, Vectors]]) -> Iterator[pa.RecordBatch]:
+        for x, y in pairs:
+            for r, c, cos in x.reaching(y, 1 - distance):
+                i, j = x.ids[r], y.ids[c]
+                if one and x.number != y.number:
+                    i, j = np.where(i < j, i, j), np.where(i < j, j, i)
+                fit = np.flatnonzero((i < j) if half or one else (i != j))
+                for low in range(0, len(fit), ROWS):
+                    part = fit[low : low + ROWS]
+                    yield pa.RecordBatch.from_pydict({"id": pa.array(i[part], x.kind), "match": pa.array(j[part], x.kind), "cosine": cos[part]})
+
+    found = compared(q, b, meet, f"id {kind}, match {kind}, cosine double", half=one)
+    return found.union(found.select("match", "id", "cosine")) if one and not half else found
 
 
 def reciprocal_best(edges: DataFrame) -> DataFrame:

@@ -14,11 +14,13 @@ RANKED = f"ranked AS (SELECT a.id, b.id AS match, b.label, {COS} AS cosine, row_
 
 
 def near(t: Tables, k: int, **how) -> DataFrame:
-    return neighbours.nearest(t.vectors, t.vectors, k, id_col="id", vector_col="vec", **how)
+    vectors = t.vectors
+    return neighbours.nearest(vectors, vectors, k, id_col="id", vector_col="vec", **how)
 
 
 def graph_of(t: Tables, distance: float) -> DataFrame:
-    pairs = neighbours.within(t.vectors, t.vectors, distance, id_col="id", vector_col="vec", half=True)
+    vectors = t.vectors
+    pairs = neighbours.within(vectors, vectors, distance, id_col="id", vector_col="vec", half=True)
     return pairs.select(F.col("id").alias("a"), F.col("match").alias("b"), "cosine")
 
 
