@@ -559,3 +559,16 @@ def test_within_computes_each_pair_once(spark, monkeypatch):
     assert "CoGroup" not in plan_of(half) and sorted((r.id, r.match) for r in half.collect()) == sorted(p for p in want if p[0] < p[1])
     assert sorted((r.id, r.match) for r in neighbours.within(df, df, 0.6, id_col="id", vector_col="vec").collect()) == sorted(want)
     assert sorted((r.id, r.match) for r in neighbours.within(df, other, 0.6, id_col="id", vector_col="vec").collect()) == sorted(p for p in want if p[1] > "v20")
+
+
+def test_joining_edges_are_fewer_than_pairs_and_join_the_same(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "VECTORS", 9)
+    rng = np.random.default_rng(13)
+    centres = rng.normal(size=(6, 5))
+    df = spark.createDataFrame([(i, (centres[i % 6] + 0.4 * rng.normal(size=5)).tolist()) for i in range(80)] + [(99, [0.0] * 5)], "id long, vec array<double>")
+    pairs = neighbours.within(df, df, 0.1, id_col="id", vector_col="vec", half=True).selectExpr("id AS a", "match AS b")
+    edges = neighbours.joining_edges(df, 0.1)
+    want = {r.id: r.component for r in graph.connected_components(df.select("id"), pairs).collect()}
+    assert {r.id: r.component for r in graph.connected_components(df.select("id"), edges).collect()} == want and 1 < len(set(want.values())) < 80
+    monkeypatch.setattr(blocks, "VECTORS", 4096)
+    assert neighbours.joining_edges(df, 0.1).count() == 81 - len(set(want.values())) < pairs.count()

@@ -125,6 +125,47 @@ def within(queries: DataFrame, base: DataFrame, distance: float, *, id_col: str,
     return found.union(found.select("match", "id", "cosine")) if one and not half else found
 
 
+def joining_edges(vectors: DataFrame, distance: float) -> DataFrame:
+    """Edges (a, b) that join the vectors (id, vec) which the pairs within ``distance`` join, for components: a task passes on at most one edge for each vector that it reads, not the pairs."""
+    rows = packed(_prepared(vectors, "id", "vec"))
+    kind = vectors.schema["id"].dataType.simpleString()
+
+    def meet(pairs: Iterator[tuple[Vectors, Vectors]]) -> Iterator[pa.RecordBatch]:
+        start, ids, label, type_ = {}, [], np.empty(0, np.int64), None
+        for a, b in pairs:
+            type_ = a.kind
+            for x in (a, b):
+                if x.number not in start:
+                    start[x.number] = len(label)
+                    ids.append(x.ids)
+                    label = np.append(label, np.arange(len(label), len(label) + len(x.ids)))
+            i, j = start[a.number], start[b.number]
+            for r, c, _ in a.reaching(b, 1 - distance, lambda r, c, i=i, j=j: label[i + r] != label[j + c]):
+                _join(label, i + r, j + c)
+        if len(label):
+            names = np.concatenate(ids)
+            joined = np.flatnonzero(label != np.arange(len(label)))
+            for low in range(0, len(joined), ROWS):
+                part = joined[low : low + ROWS]
+                yield pa.RecordBatch.from_pydict({"a": pa.array(names[part], type_), "b": pa.array(names[label[part]], type_)})
+
+    return compared(rows, rows, meet, f"a {kind}, b {kind}", half=True)
+
+
+def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Give all that the pairs join the least label among them; ``label`` holds the place of each one's root, before and after."""
+    while len(a):
+        x, y = label[a], label[b]
+        fit = x != y
+        a, b, x, y = a[fit], b[fit], x[fit], y[fit]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while len(a):
+            up = label[label]
+            if (up == label).all():
+                break
+            label[:] = up
+
+
 def reciprocal_best(edges: DataFrame) -> DataFrame:
     """a < b that are each other's most similar entity in the other's group; ``edges`` (a, group_a, b, group_b, value) holds both directions."""
     w = Window.partitionBy("a", "group_b").orderBy(F.desc("value"), "b")

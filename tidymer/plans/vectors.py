@@ -88,7 +88,7 @@ def closed_edges(t: Tables) -> DataFrame:
     f"WITH RECURSIVE edges AS (SELECT a.id AS a, b.id AS b FROM (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings) a JOIN (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings) b ON a.id <> b.id WHERE {COS} >= 1 - 0.55), reach(id, got) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, e.b FROM reach r JOIN edges e ON r.got = e.a) SELECT id, min(got) AS component FROM reach GROUP BY id",
 )
 def components(t: Tables) -> DataFrame:
-    return graph.connected_components(t.vectors.select("id"), graph_of(t, 0.55))
+    return graph.connected_components(t.vectors.select("id"), neighbours.joining_edges(t.vectors, 0.55))
 
 
 @query("greedy_cover")
