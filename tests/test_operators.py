@@ -572,3 +572,12 @@ def test_joining_edges_are_fewer_than_pairs_and_join_the_same(spark, monkeypatch
     assert {r.id: r.component for r in graph.connected_components(df.select("id"), edges).collect()} == want and 1 < len(set(want.values())) < 80
     monkeypatch.setattr(blocks, "VECTORS", 4096)
     assert neighbours.joining_edges(df, 0.1).count() == 81 - len(set(want.values())) < pairs.count()
+
+
+def test_groups_within_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "VECTORS", 9)
+    rng = np.random.default_rng(14)
+    df = spark.createDataFrame([(i, int(rng.integers(70)), rng.normal(size=3).tolist()) for i in range(60)], "id long, group int, vec array<double>")
+    pairs = neighbours.within(df, df, 0.2, id_col="id", vector_col="vec")
+    want = {(r.id, r.group) for r in pairs.join(df.selectExpr("id AS match", "group"), "match").collect()}
+    assert {(r.id, r.group) for r in neighbours.groups_within(df, 0.2, 70).collect()} == want

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,8 +17,11 @@ from .stores import persisted
 BLOCK, SOLVED = 8192, 256
 
 
-def make_folds(names: DataFrame, n: int | None, *, seed: int = 1, similar: DataFrame | None = None) -> DataFrame:
-    """fold, role, entity: a seeded permutation dealt to n folds (None: one entity each); from a fold's training part go those that ``similar`` (a, b) links to its test part."""
+def make_folds(names: DataFrame, n: int | None, *, seed: int = 1, similar: DataFrame | None = None, reached: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """fold, role, entity: a seeded permutation dealt to n folds (None: one entity each); from a fold's training part go those that ``similar`` (a, b) links to its test part.
+
+    ``reached`` gives what is near a fold's test part (fold, entity) from the test parts (entity, fold), where all links would be too many.
+    """
     order = Window.orderBy(F.xxhash64("entity", F.lit(seed)), "entity")
     place = F.row_number().over(order) - 1
     test = names.select("entity").distinct().withColumn("fold", (place % n if n else place).cast("int"))
@@ -28,6 +31,8 @@ def make_folds(names: DataFrame, n: int | None, *, seed: int = 1, similar: DataF
         both = similar.select("a", "b").union(similar.select("b", "a"))
         near = test.join(both.withColumnRenamed("a", "entity"), "entity").select("fold", F.col("b").alias("entity"))
         train = train.join(near, ["fold", "entity"], "left_anti")
+    if reached is not None:
+        train = train.join(reached(test), ["fold", "entity"], "left_anti")
     return test.select("fold", F.lit("test").alias("role"), "entity").union(train.select("fold", F.lit("train").alias("role"), "entity"))
 
 

@@ -166,6 +166,42 @@ def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
+#: Groups whose bits one number holds.
+WORD = 62
+
+
+def groups_within(vectors: DataFrame, distance: float, groups: int) -> DataFrame:
+    """id, group of every vector (id, vec, group from 0 to ``groups`` - 1) and every group that holds another vector within ``distance``. A task passes on bits of each vector that it reads, not the pairs."""
+    rows = packed(vectors.where("id IS NOT NULL AND vec IS NOT NULL").select("id", "vec", "group"))
+    kind = vectors.schema["id"].dataType.simpleString()
+
+    def meet(pairs: Iterator[tuple[Vectors, Vectors]]) -> Iterator[pa.RecordBatch]:
+        start, ids, near, type_ = {}, [], np.zeros((0, groups), bool), None
+        for a, b in pairs:
+            type_ = a.kind
+            for x in (a, b):
+                if x.number not in start:
+                    start[x.number] = len(near)
+                    ids.append(x.ids)
+                    near = np.concatenate([near, np.zeros((len(x.ids), groups), bool)])
+            i, j = start[a.number], start[b.number]
+            new = lambda r, c, a=a, b=b, i=i, j=j: (a.ids[r] != b.ids[c]) & ~(near[i + r, b.groups[c]] & near[j + c, a.groups[r]])
+            for r, c, _ in a.reaching(b, 1 - distance, new):
+                near[i + r, b.groups[c]] = near[j + c, a.groups[r]] = True
+        names = np.concatenate(ids) if ids else []
+        for word in range(-(-groups // WORD) if ids else 0):
+            bits = near[:, word * WORD : (word + 1) * WORD]
+            mask = bits @ (1 << np.arange(bits.shape[1], dtype=np.int64))
+            held = np.flatnonzero(mask)
+            for low in range(0, len(held), ROWS):
+                part = held[low : low + ROWS]
+                yield pa.RecordBatch.from_pydict({"id": pa.array(names[part], type_), "word": pa.array(np.full(len(part), word, np.int32)), "mask": mask[part]})
+
+    found = compared(rows, rows, meet, f"id {kind}, word int, mask long", half=True).groupBy("id", "word").agg(F.bit_or("mask").alias("mask"))
+    places = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda k: F.getbit("mask", k) == 1)
+    return found.select("id", F.explode(F.transform(places, lambda k: k + F.col("word") * WORD)).alias("group"))
+
+
 def reciprocal_best(edges: DataFrame) -> DataFrame:
     """a < b that are each other's most similar entity in the other's group; ``edges`` (a, group_a, b, group_b, value) holds both directions."""
     w = Window.partitionBy("a", "group_b").orderBy(F.desc("value"), "b")

@@ -134,7 +134,11 @@ def cluster_medoid(t: Tables) -> DataFrame:
 
 @query("folds_leave_similar_out")
 def folds_leave_similar_out(t: Tables) -> DataFrame:
-    return folds.make_folds(t.vectors.select(F.col("id").alias("entity")), 10, similar=graph_of(t, 0.6))
+    def reached(test: DataFrame) -> DataFrame:
+        placed = t.vectors.join(test.select(F.col("entity").alias("id"), F.col("fold").alias("group")), "id")
+        return neighbours.groups_within(placed, 0.6, 10).select(F.col("group").alias("fold"), F.col("id").alias("entity"))
+
+    return folds.make_folds(t.vectors.select(F.col("id").alias("entity")), 10, reached=reached)
 
 
 @query("tail_split", "SELECT id, CASE WHEN percent_rank() OVER (ORDER BY id) > 1 - 0.2 THEN 'test' ELSE 'train' END AS role FROM vectors", ("vectors",))
