@@ -581,3 +581,23 @@ def test_groups_within_are_those_of_all_pairs(spark, monkeypatch):
     pairs = neighbours.within(df, df, 0.2, id_col="id", vector_col="vec")
     want = {(r.id, r.group) for r in pairs.join(df.selectExpr("id AS match", "group"), "match").collect()}
     assert {(r.id, r.group) for r in neighbours.groups_within(df, 0.2, 70).collect()} == want
+
+
+def test_medoid_of_vectors_equals_all_pairs(spark):
+    rng = np.random.default_rng(15)
+    rows = [(i, int(rng.integers(3)), rng.normal(size=4).tolist()) for i in range(60)]
+    east, north = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    rows += [(70, 5, east), (71, 5, None), (72, 5, east), (73, 6, east), (74, None, east), (75, 7, east), (75, 7, [1.0, 1.0, 0.0, 0.0]), (76, 7, north)]
+    got = {r.cluster: r.medoid for r in graph.medoid_of_vectors(spark.createDataFrame(rows, "id int, cluster int, vec array<double>")).collect()}
+
+    def cos(x, y):
+        x, y = (np.zeros(4) if v is None else np.array(v) for v in (x, y))
+        return round(float(x @ y / (np.linalg.norm(x) * np.linalg.norm(y))), 9) if x.any() and y.any() else 0.0
+
+    sums: dict = {}
+    for i, g, x in rows:
+        for j, h, y in rows:
+            if g is not None and g == h and i != j:
+                sums[g, i] = sums.get((g, i), 0) + 1 - cos(x, y)
+    want = {g: min((round(d, 6), i) for (h, i), d in sums.items() if h == g)[1] for g, _ in sums}
+    assert got == want and 6 not in got

@@ -128,8 +128,7 @@ def cluster_summary(t: Tables) -> DataFrame:
     ("vectors",),
 )
 def cluster_medoid(t: Tables) -> DataFrame:
-    pairs = neighbours.within(t.vectors, t.vectors, 2.0, id_col="id", vector_col="vec", half=True)
-    return graph.cluster_medoid(t.vectors.select("id", F.col("label").alias("cluster")), pairs.select(F.col("id").alias("a"), F.col("match").alias("b"), (1 - F.col("cosine")).alias("distance")))
+    return graph.medoid_of_vectors(t.vectors.withColumnRenamed("label", "cluster"))
 
 
 @query("folds_leave_similar_out")
