@@ -601,3 +601,18 @@ def test_medoid_of_vectors_equals_all_pairs(spark):
                 sums[g, i] = sums.get((g, i), 0) + 1 - cos(x, y)
     want = {g: min((round(d, 6), i) for (h, i), d in sums.items() if h == g)[1] for g, _ in sums}
     assert got == want and 6 not in got
+
+
+def test_distinct_3mers_are_those_that_kmers_count(spark, monkeypatch):
+    texts = ["abcabcd", "a\u00e9\U0001f600bc\u00e9\U0001f600b", "", "ab", "x", "\u4e2d\u6587\u5b57\u4e2d\u6587\u5b57", None, "abcdefghij" * 5]
+    rows = [(e, i, t) for i, t in enumerate(texts) for e in ("en", "fr", None)]
+    seqs = spark.createDataFrame(rows, "entity string, part int, seq string").coalesce(1)
+    want = sorted(map(str, s.kmers(seqs, 3).select("entity", "feature").collect()))
+    found = s.distinct_3mers(seqs)
+    assert sorted(map(str, found.collect())) == want and len(want) > 20
+    assert "Generate" not in plan_of(found)  # no row for each window
+
+
+def test_3mers_of_pieces(monkeypatch):
+    letters, inside = s._joined(["abcd", "ef", "ghi"])
+    assert bytes(letters.astype(np.uint8)).decode() == "abcdefghi" and np.flatnonzero(inside).tolist() == [0, 1, 6]
