@@ -616,3 +616,14 @@ def test_distinct_3mers_are_those_that_kmers_count(spark, monkeypatch):
 def test_3mers_of_pieces(monkeypatch):
     letters, inside = s._joined(["abcd", "ef", "ghi"])
     assert bytes(letters.astype(np.uint8)).decode() == "abcdefghi" and np.flatnonzero(inside).tolist() == [0, 1, 6]
+
+
+def test_identity_of_pairs_shuffles_no_pair(spark):
+    rng = np.random.default_rng(16)
+    rows = [(f"e{i % 2}", i, "".join(rng.choice(list("ab"), rng.integers(1, 4)))) for i in range(60)]
+    found = s.identity_of_pairs(spark.createDataFrame(rows, "entity string, part long, seq string"))
+    share = lambda x, y: sum(p == q for p, q in zip(x, y, strict=False)) / max(len(x), len(y))
+    want = {(i, j): share(x, y) for e, i, x in rows for f, j, y in rows if e == f and i < j}
+    got = [((r.a, r.b), r.identity) for r in found.collect()]
+    assert len(got) == len(want) and dict(got) == pytest.approx(want)
+    assert plan_of(found).split("Initial Plan")[-1].count("Join") == 1  # parts join sequences in no second one
