@@ -627,3 +627,18 @@ def test_identity_of_pairs_shuffles_no_pair(spark):
     got = [((r.a, r.b), r.identity) for r in found.collect()]
     assert len(got) == len(want) and dict(got) == pytest.approx(want)
     assert plan_of(found).split("Initial Plan")[-1].count("Join") == 1  # parts join sequences in no second one
+
+
+def test_triangles_shuffle_no_path_of_two_edges(spark, monkeypatch):
+    for name, value in (("NEAR", (5, 7)), ("TABLE", 60), ("PATHS", 11)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(17)
+    pairs = sorted({(int(min(p)), int(max(p))) for p in rng.integers(0, 30, (150, 2)) if p[0] != p[1]})
+    found = neighbours.triangles(spark.createDataFrame(pairs, "a long, b long"))
+    edges = set(pairs)
+    want = sorted((a, b, c) for a, b in pairs for c in range(b + 1, 30) if (b, c) in edges and (a, c) in edges)
+    assert sorted((r.a, r.b, r.c) for r in found.collect()) == want and len(want) > 20
+    assert "CartesianProduct" in plan_of(found) and "Exchange" not in plan_of(found)
+    monkeypatch.setattr(neighbours, "TABLE", 60)
+    a = (np.array([1, 2]), np.array([2, 1]), np.array([2, 3, 3]))
+    assert [tuple(map(int, t)) for part in neighbours._closed(a, a) for t in zip(*part, strict=True)] == [(1, 2, 3)]
