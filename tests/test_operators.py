@@ -642,3 +642,11 @@ def test_triangles_shuffle_no_path_of_two_edges(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "TABLE", 60)
     a = (np.array([1, 2]), np.array([2, 1]), np.array([2, 3, 3]))
     assert [tuple(map(int, t)) for part in neighbours._closed(a, a) for t in zip(*part, strict=True)] == [(1, 2, 3)]
+
+
+@pytest.mark.parametrize("name", ["knn_vote"])
+def test_votes_send_no_vector_to_every_block(spark, name):
+    from tidymer.plans import registry
+
+    plan = plan_of(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert "CartesianProduct" in plan and "CoGroup" not in plan
