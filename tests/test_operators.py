@@ -644,7 +644,7 @@ def test_triangles_shuffle_no_path_of_two_edges(spark, monkeypatch):
     assert [tuple(map(int, t)) for part in neighbours._closed(a, a) for t in zip(*part, strict=True)] == [(1, 2, 3)]
 
 
-@pytest.mark.parametrize("name", ["knn_vote"])
+@pytest.mark.parametrize("name", ["knn_vote", "rbf_weighted_vote"])
 def test_votes_send_no_vector_to_every_block(spark, name):
     from tidymer.plans import registry
 
